@@ -172,7 +172,7 @@ def registered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
-    ended = t["queries"].groupBy(state_code(F.col("finalState")).cast("bigint").alias("id")).agg(
+    ended = t["queries"].groupBy(state_code("finalState").cast("bigint").alias("id")).agg(
         F.count("*").alias("profiles")
     )
     return (

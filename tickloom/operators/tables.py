@@ -19,10 +19,10 @@ def queries_table(numbered: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE) ->
     derived = {
         "queryTextFirstChunk": first_chunk(text, chunk_size),
         "nrQueryChunks": chunk_count(text, chunk_size),
-        "finalState": state_name(F.col("highestState")),
+        "finalState": state_name("highestState"),
     }
     derived |= {
-        name: F.get("stateStarts", F.lit(code)) for code, name in enumerate(STATE_START_COLUMNS)
+        name: F.expr(f"get(stateStarts, {code})") for code, name in enumerate(STATE_START_COLUMNS)
     }
     return numbered.withColumns(derived).select(*QUERIES_COLUMNS)
 

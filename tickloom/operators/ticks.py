@@ -8,6 +8,8 @@ array nor keeps a single task busy.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,38 +22,43 @@ SLICE_TICKS = 36_000
 
 def profile_phases(profiles: DataFrame, keep: list[str], only: int | None = None) -> DataFrame:
     """Phases of parsed profiles, one row each, beside the columns ``keep``."""
-    ready = profiles.select(
+    starts = [f"get(stateStarts, {c})" for c in CODES]
+    ready = profiles.selectExpr(
         *keep,
-        F.col("highestState").alias("highest"),
-        F.get("stateStarts", "highestState").alias("highestStart"),
-        *[F.get("stateStarts", F.lit(c)).alias(f"start{c}") for c in CODES],
+        "highestState AS highest",
+        "get(stateStarts, highestState) AS highestStart",
+        *_seen(starts),
     )
     return _unnest(ready, keep, only)
 
 
 def header_phases(queries: DataFrame, keep: list[str], only: int | None = None) -> DataFrame:
     """The same phases from the state columns of the ``queries`` table."""
-    named = queries.select(*keep, *STATE_START_COLUMNS, state_code(F.col("finalState")).alias("highest"))
-    ready = named.select(
+    coded = queries.select(*keep, *STATE_START_COLUMNS, state_code("finalState").alias("highest"))
+    ready = coded.selectExpr(
         *keep,
         "highest",
-        F.get(F.array(*STATE_START_COLUMNS), "highest").alias("highestStart"),
-        *[F.col(name).alias(f"start{c}") for c, name in enumerate(STATE_START_COLUMNS)],
+        f"get(array({', '.join(STATE_START_COLUMNS)}), highest) AS highestStart",
+        *_seen(STATE_START_COLUMNS),
     )
     return _unnest(ready, keep, only)
 
 
+def _seen(starts: Sequence[str]) -> list[str]:
+    return [f"CASE WHEN {s} > 0 THEN {s} END AS seen{c}" for c, s in enumerate(starts)]
+
+
 def _unnest(ready: DataFrame, keep: list[str], only: int | None) -> DataFrame:
-    starts = [F.col(f"start{c}") for c in CODES]
+    seen = [f"seen{c}" for c in CODES]
     codes = CODES if only is None else [only]
-    rows = ready.select(*keep, "highest", F.inline(phases(starts, F.col("highestStart"), codes)))
-    return rows.where("startMs IS NOT NULL").select(
+    rows = ready.select(*keep, "highest", F.inline(phases(seen, "highestStart", codes)))
+    return rows.where("startMs IS NOT NULL").selectExpr(
         *keep,
-        F.col("state").alias("queryState"),
-        F.col("startMs").alias("phaseStartMs"),
-        F.col("endMs").alias("phaseEndMs"),
-        F.col("durationMs").alias("stateDurationMs"),
-        (F.col("state") == F.col("highest")).alias("isHighest"),
+        "state AS queryState",
+        "startMs AS phaseStartMs",
+        "endMs AS phaseEndMs",
+        "durationMs AS stateDurationMs",
+        "state = highest AS isHighest",
     )
 
 

@@ -7,8 +7,6 @@ key absent, or present and null?) are asked only of the rows that show a NULL.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +46,7 @@ _GROUP_KEYS = (
     "schedulingProperties",
 )
 _NODE_KEYS = ("endpoint", "maxMemoryUsed", "timeEnqueuedBeforeSubmitMs")
+_ENDPOINT_KEYS = ("address", "fabricPort")
 
 
 def parse_profiles(lines: DataFrame, *, strict: bool = False) -> DataFrame:
@@ -92,8 +91,8 @@ def parse_profiles(lines: DataFrame, *, strict: bool = False) -> DataFrame:
         *SCHEDULING_COLUMNS,
         F.col("executionStart").alias("executionStartMs"),
         F.col("query").alias("queryText"),
-        state_starts(F.col("stateList")).alias("stateStarts"),
-        highest_state(F.col("stateList")).alias("highestState"),
+        state_starts("stateList").alias("stateStarts"),
+        highest_state("stateList").alias("highestState"),
         "nodeProfile",
         "problem",
         "file_name",
@@ -109,28 +108,25 @@ def quarantined(profiles: DataFrame) -> DataFrame:
     return profiles.where("problem IS NOT NULL").select("file_name", "attempt", "problem", "line")
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def _with_problem(parsed: DataFrame) -> DataFrame:
-    signs = [F.col(c).isNull() for c in (*NEEDED, *NEEDED_OR_NULL)]
-    signs.append(F.col(OBJECTION).isNotNull())
-    states_bad = F.coalesce(~_states_are_good(), F.lit(False))
-    nodes_have_null = F.coalesce(~_nodes_are_full(), F.lit(False))
-    marked = parsed.withColumn("suspect", _any([*signs, states_bad, nodes_have_null]))
-    keyed = marked.withColumn("keys", F.when(F.col("suspect"), F.json_object_keys("line")))
-
-    def null_in_source(key: str) -> Column:
-        listed = F.coalesce(F.array_contains("keys", F.lit(key)), F.lit(False))
-        return listed & F.get_json_object("line", f"$.{key}").isNull()
-
-    found = [F.when(F.col(c).isNull(), F.lit(c)) for c in NEEDED]
+    signs = [f"{_q(c)} IS NULL" for c in (*NEEDED, *NEEDED_OR_NULL)]
+    signs += [f"{OBJECTION} IS NOT NULL", _STATES_BAD, _NODES_HAVE_NULL]
+    marked = parsed.withColumn("suspect", F.expr(" OR ".join(signs)))
+    keyed = marked.withColumn("keys", F.expr("CASE WHEN suspect THEN json_object_keys(line) END"))
+
+    found = [F.expr(f"CASE WHEN {_q(c)} IS NULL THEN '{c}' END") for c in NEEDED]
     found += [
-        F.when(F.col(c).isNull(), F.when(~null_in_source(c), F.lit(c))) for c in NEEDED_OR_NULL
+        F.expr(
+            f"CASE WHEN {_q(c)} IS NOT NULL THEN NULL"
+            f" WHEN array_contains(keys, '{c}') AND get_json_object(line, '$.{c}') IS NULL THEN NULL"
+            f" ELSE '{c}' END"
+        )
+        for c in NEEDED_OR_NULL
     ]
-    found.append(F.when(states_bad, F.lit("stateList entry")))
-    found.append(F.when(nodes_have_null, F.when(_some_node_is_bad(), F.lit("nodeProfile entry"))))
+    found.append(F.when(F.expr(_STATES_BAD), F.lit("stateList entry")))
+    found.append(
+        F.when(F.expr(_NODES_HAVE_NULL), F.when(_some_node_is_bad(), F.lit("nodeProfile entry")))
+    )
     text = (
         F.when(~F.col("suspect"), F.lit(""))
         .when(F.col("keys").isNull(), F.lit("malformed JSON"))
@@ -141,83 +137,89 @@ def _with_problem(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _no_null_in(path: str) -> Column:
-    return F.size(F.array_compact(path)) == F.size(path)
+def _q(name: str) -> str:
+    return f"`{name}`"
 
 
-def _states_are_good() -> Column:
-    """Every entry has a time and a known code; NULL, that is no objection, without a list."""
-    codes = F.col("stateList.state")
-    in_range = F.array_min(codes).between(0, len(STATE_NAMES) - 1) & (
-        F.array_max(codes) < len(STATE_NAMES)
-    )
-    full = _no_null_in("stateList.state") & _no_null_in("stateList.startTime")
-    return full & F.coalesce(in_range, F.lit(True))
+def _has_null(path: str) -> str:
+    return f"size(array_compact({path})) <> size({path})"
+
 
+# An entry without a time or a known code.  NULL, hence no objection, without a list.
+_STATES_BAD = f"""coalesce(
+    {_has_null("stateList.state")} OR {_has_null("stateList.startTime")}
+    OR array_min(stateList.state) < 0 OR array_max(stateList.state) >= {len(STATE_NAMES)}, false)"""
 
-def _nodes_are_full() -> Column:
-    paths = ("endpoint.address", "endpoint.fabricPort", "maxMemoryUsed", "timeEnqueuedBeforeSubmitMs")
-    return reduce(lambda a, b: a & b, [_no_null_in(f"nodeProfile.{p}") for p in paths])
+_NODES_HAVE_NULL = f"""coalesce(
+    {_has_null("nodeProfile.endpoint.address")} OR {_has_null("nodeProfile.endpoint.fabricPort")}
+    OR {_has_null("nodeProfile.maxMemoryUsed")}
+    OR {_has_null("nodeProfile.timeEnqueuedBeforeSubmitMs")}, false)"""
 
 
 def _some_node_is_bad() -> Column:
-    """A node entry lacks a key, or has a value of a type that cannot be kept."""
-    ddl = "nodeProfile ARRAY<MAP<STRING, STRING>>"
-    entries = F.from_json("line", ddl, JSON_OPTIONS)["nodeProfile"]
-
-    def bad(n: Column, entry: Column) -> Column:
-        endpoint = F.try_element_at(entry, F.lit("endpoint"))
-        keys, endpoint_keys = F.map_keys(entry), F.json_object_keys(endpoint)
-        lacking = [~F.array_contains(keys, F.lit(k)) for k in _NODE_KEYS]
-        lacking += [~F.array_contains(endpoint_keys, F.lit(k)) for k in ("address", "fabricPort")]
-        mistyped = [
-            n[k].isNull() & F.try_element_at(entry, F.lit(k)).isNotNull() for k in _NODE_KEYS[1:]
-        ]
-        mistyped += [
-            n["endpoint"][k].isNull() & F.get_json_object(endpoint, f"$.{k}").isNotNull()
-            for k in ("address", "fabricPort")
-        ]
-        # A missing entry or endpoint makes the test NULL, which counts as bad.
-        return F.coalesce(_any(lacking + mistyped), F.lit(True))
-
-    return F.coalesce(
-        F.exists(F.zip_with("nodeProfile", entries, bad), lambda b: b), F.lit(True)
-    )
+    """A node entry lacks a key, or has a value of a type that cannot be kept.
+
+    A missing entry or endpoint makes the test of an entry NULL, which counts as bad.
+    """
+    lacking = [f"NOT array_contains(map_keys(e), '{k}')" for k in _NODE_KEYS]
+    lacking += [
+        f"NOT array_contains(json_object_keys(try_element_at(e, 'endpoint')), '{k}')"
+        for k in _ENDPOINT_KEYS
+    ]
+    mistyped = [
+        f"n.{k} IS NULL AND try_element_at(e, '{k}') IS NOT NULL" for k in _NODE_KEYS[1:]
+    ]
+    mistyped += [
+        f"n.endpoint.{k} IS NULL"
+        f" AND get_json_object(try_element_at(e, 'endpoint'), '$.{k}') IS NOT NULL"
+        for k in _ENDPOINT_KEYS
+    ]
+    bad = " OR ".join(f"({test})" for test in lacking + mistyped)
+    entries = "from_json(line, 'nodeProfile ARRAY<MAP<STRING, STRING>>').nodeProfile"
+    tests = f"zip_with(nodeProfile, {entries}, (n, e) -> coalesce({bad}, true))"
+    return F.expr(f"coalesce(exists({tests}, b -> b), true)")
 
 
 def _with_scheduling(checked: DataFrame) -> DataFrame:
     """The six scheduling columns: all taken over, or all NULL.
 
     They are kept only if every key is there and the cost can be rounded.  A key
-    that is there with a JSON null does not blank the others.
+    that is there with a JSON null does not blank the others.  The keys themselves
+    are looked up only where a value is NULL.
     """
     block = F.coalesce("resourceSchedulingProfile", F.lit("{}"))
-    grouped = checked.withColumn("g", F.from_json(block, SCHEDULING_DDL, JSON_OPTIONS))
-    block_null = _any([F.col(f"g.{k}").isNull() for k in _GROUP_KEYS])
     properties = F.coalesce("g.schedulingProperties", F.lit("{}"))
-    grouped = grouped.withColumns(
+    block_null = " OR ".join(f"g.{k} IS NULL" for k in _GROUP_KEYS)
+    read = checked.withColumn("g", F.from_json(block, SCHEDULING_DDL, JSON_OPTIONS)).withColumns(
         {
-            "gKeys": F.when(block_null, F.json_object_keys("resourceSchedulingProfile")),
+            "gKeys": F.expr(
+                f"CASE WHEN {block_null} THEN json_object_keys(resourceSchedulingProfile) END"
+            ),
             "s": F.from_json(properties, SCHEDULING_PROPERTIES_DDL, JSON_OPTIONS),
         }
     )
-
-    def there(value: Column, keys: Column, key: str) -> Column:
-        return value.isNotNull() | F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
-
-    cost = round_half_even(F.col("s.queryCost"))
-    present = [there(F.col(f"g.{k}"), F.col("gKeys"), k) for k in _GROUP_KEYS]
+    present = [
+        f"(g.{k} IS NOT NULL OR coalesce(array_contains(gKeys, '{k}'), false))" for k in _GROUP_KEYS
+    ]
     present.append(
-        there(F.col("s.queryType"), F.json_object_keys("g.schedulingProperties"), "queryType")
+        "(s.queryType IS NOT NULL OR coalesce("
+        "array_contains(json_object_keys(g.schedulingProperties), 'queryType'), false))"
+    )
+    rounded = read.withColumn("cost", round_half_even(F.col("s.queryCost")))
+    complete = rounded.withColumn(
+        "complete", F.expr(" AND ".join(["cost IS NOT NULL", *present]))
+    )
+    values = (
+        "g.resourceSchedulingStart",
+        "g.resourceSchedulingEnd",
+        "g.queueName",
+        "g.ruleName",
+        "cost",
+        "s.queryType",
+    )
+    return complete.withColumns(
+        {
+            c: F.expr(f"CASE WHEN complete THEN {v} END")
+            for c, v in zip(SCHEDULING_COLUMNS, values, strict=True)
+        }
     )
-    complete = reduce(lambda a, b: a & b, [cost.isNotNull(), *present])
-    grouped = grouped.withColumn("complete", complete)
-    values = {
-        "resourceSchedulingStartMs": F.col("g.resourceSchedulingStart"),
-        "resourceSchedulingEndMs": F.col("g.resourceSchedulingEnd"),
-        "queueName": F.col("g.queueName"),
-        "ruleName": F.col("g.ruleName"),
-        "queryCost": cost,
-        "queryType": F.col("s.queryType"),
-    }
-    return grouped.withColumns({c: F.when(F.col("complete"), values[c]) for c in SCHEDULING_COLUMNS})

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.sinks import new_staging_dir
+from tickloom.operators.ticks import shuffle_partitions
 from tickloom.plans.ingest import IngestReport, ingest_lines
 from tickloom.sources.tables import read_tables
 
@@ -63,9 +64,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        PROFILES.replace("FROM orders", "FROM {orders}"), orders=_table(spark, sf_dir, "orders")
+    """One narrow row per order is spread before it grows into a document."""
+    orders = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
     )
+    spread = orders.repartition(shuffle_partitions(orders), "o_orderkey")
+    return spark.sql(PROFILES.replace("FROM orders", "FROM {orders}"), orders=spread)
 
 
 def derived_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,15 +126,17 @@ def test_staged_rows_are_numbered_without_moving(spark, tmp_path):
     staged, offsets = str(tmp_path / "staged"), str(tmp_path / "offsets")
     ids = spark.range(0, 1000, numPartitions=7).selectExpr("concat('q', id) AS queryId")
     ids.write.parquet(staged)
-    numbered = numbering.number_staged(spark, staged, offsets, base=10)
+    frame = spark.read.parquet(staged)
+    numbered = numbering.number_staged(frame, offsets, base=10)
     assert sorted(r.qNum for r in numbered.collect()) == list(range(11, 1011))
-    assert rows(numbered) == rows(numbering.number_staged(spark, staged, offsets, base=10))
+    assert rows(numbered) == rows(numbering.number_staged(frame, offsets, base=10))
     assert count_in_plan(numbered, "Exchange hashpartitioning") == 0
 
 
 def test_headers_are_written_without_a_shuffle_of_profiles(spark, tmp_path):
     report = ingest_lines(lines_frame(spark, [("a", 0, profile())]), str(tmp_path / "out"))
-    numbered = numbering.number_staged(spark, report.staged_dir, str(tmp_path / "offsets"), 0)
+    staged = spark.read.parquet(report.staged_dir)
+    numbered = numbering.number_staged(staged, str(tmp_path / "offsets"), 0)
     text = plan(queries_table(numbered))
     assert "Exchange hashpartitioning" not in text
     assert "nodeProfile" not in text

@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Memory is summed as a decimal so that a total does not depend on the order in
-# which partitions arrive; nine quintillion bytes in MB still fit.
-MEMORY_DECIMAL = "decimal(18,1)"
-
-
 def tick_floor(ms: Column, tick_ms: int) -> Column:
     """Start of the tick that contains ``ms``; exact, and right for negatives too."""
     return ms - F.pmod(ms, F.lit(tick_ms).cast("bigint"))
@@ -42,6 +37,19 @@ def memory_mb(bytes_: Column) -> Column:
     return F.round(bytes_.cast("double") / 1024.0 / 1024.0, 1)
 
 
+def memory_tenths(mb: Column) -> Column:
+    """Memory as a whole number of tenths of a megabyte.
+
+    Totals of these are exact and cheap, and do not depend on the order in which
+    partitions arrive, as totals of doubles would.
+    """
+    return F.round(mb * 10).cast("bigint")
+
+
+def tenths_to_mb(tenths: Column) -> Column:
+    return tenths / F.lit(10.0)
+
+
 def node_id(address: Column, port: Column) -> Column:
     """``address:port``; NULL if either part is NULL."""
     return F.concat(address, F.lit(":"), port.cast("string"))

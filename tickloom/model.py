@@ -81,6 +81,16 @@ SCHEDULING_COLUMNS = (
     "queryType",
 )
 
+_QUERIES_TYPES = {
+    "queryId": "STRING",
+    "userId": "STRING",
+    "queueName": "STRING",
+    "ruleName": "STRING",
+    "queryType": "STRING",
+    "queryTextFirstChunk": "STRING",
+    "finalState": "STRING",
+}
+
 QUERIES_COLUMNS = (
     "queryId",
     "qNum",
@@ -101,7 +111,18 @@ QUERIES_COLUMNS = (
     "attempt",
 )
 
-TABLE_NAMES = ("query_text", "nodes", "ticks", "queries")
+# Ids, counts and times are BIGINT, and every column may be NULL.
+TABLE_DDL = {
+    "query_text": "qNum BIGINT, chunkNum BIGINT, chunkText STRING",
+    "nodes": (
+        "qNum BIGINT, endpointAddress STRING, endpointFabricPort BIGINT, "
+        "maxMemoryUsed BIGINT, enqueuedBeforeSubmitMs BIGINT"
+    ),
+    "ticks": "tickMs BIGINT, qNum BIGINT, queryState BIGINT, stateDurationMs BIGINT",
+    "queries": ", ".join(f"{c} {_QUERIES_TYPES.get(c, 'BIGINT')}" for c in QUERIES_COLUMNS),
+}
+
+TABLE_NAMES = tuple(TABLE_DDL)
 
 
 def state_names(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
@@ -62,15 +62,14 @@ def number_profiles(profiles: DataFrame, base: int = 0, buckets: int = BUCKETS)
     )
 
 
-def number_staged(spark: SparkSession, staged_dir: str, offsets_dir: str, base: int) -> DataFrame:
-    """Number profiles that have been written to ``staged_dir`` without moving them.
+def number_staged(staged: DataFrame, offsets_dir: str, base: int) -> DataFrame:
+    """Number the rows of a frame read straight from Parquet without moving them.
 
     A row's place in its file does not change any more, so its number is that place
     plus the rows of the files before.  The rows per file (one small record per file)
     are written to ``offsets_dir``: the planner then knows their true size and
     broadcasts them only if they are small enough.
     """
-    staged = spark.read.parquet(staged_dir)
     file_name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
     before = Window.orderBy("fileName").rowsBetween(Window.unboundedPreceding, -1)
     (
@@ -80,7 +79,7 @@ def number_staged(spark: SparkSession, staged_dir: str, offsets_dir: str, base:
         .write.mode("overwrite")
         .parquet(offsets_dir)
     )
-    offsets = spark.read.parquet(offsets_dir)
+    offsets = staged.sparkSession.read.schema("fileName STRING, offset BIGINT").parquet(offsets_dir)
     return (
         staged.select("*", file_name.alias("fileName"), row.alias("row"))
         .join(offsets, "fileName")

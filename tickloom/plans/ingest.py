@@ -82,12 +82,9 @@ def ingest_lines(
     if base is None:
         base = next_base(stored)
 
-    staged_dir = f"{new_staging_dir(spark)}/profiles"
-    parse_profiles(lines, strict=strict).write.parquet(staged_dir)
+    staged_dir, staged = _stage(parse_profiles(lines, strict=strict))
     if skip_existing and stored is not None:
-        staged_dir = _stage_new_only(spark.read.parquet(staged_dir), stored)
-
-    staged = spark.read.parquet(staged_dir)
+        staged_dir, staged = _stage(_new_only(staged, stored))
     facts = staged.agg(
         *range_bounds(),
         F.count_if(F.col("problem").isNull()).alias("profiles"),
@@ -97,7 +94,7 @@ def ingest_lines(
     expected = _by_state(expected_ticks_per_state(ranges, tick_ms), "expectedTicks")
     tick_files = min(shuffle_partitions(staged), -(-sum(expected.values()) // TICKS_PER_FILE))
 
-    numbered = usable(number_staged(spark, staged_dir, f"{staged_dir}-offsets", base))
+    numbered = usable(number_staged(staged, f"{staged_dir}-offsets", base))
     tables = {
         "query_text": text_chunks(numbered, chunk_size),
         "nodes": nodes_table(numbered),
@@ -124,8 +121,16 @@ def _by_state(counts: DataFrame, column: str) -> dict[int, int]:
     return {r["queryState"]: r[column] for r in rows}
 
 
-def _stage_new_only(staged: DataFrame, stored: DataFrame) -> str:
-    """Stage again without the profiles that ``stored`` has.
+def _stage(profiles: DataFrame) -> tuple[str, DataFrame]:
+    """Write parsed profiles to the shared staging folder and read them back."""
+    spark = profiles.sparkSession
+    path = f"{new_staging_dir(spark)}/profiles"
+    profiles.write.parquet(path)
+    return path, spark.read.schema(profiles.schema).parquet(path)
+
+
+def _new_only(staged: DataFrame, stored: DataFrame) -> DataFrame:
+    """The profiles that ``stored`` does not have.
 
     A stored copy of a profile has the same start, so only the row groups of this
     batch's time range are read from the stored table.
@@ -135,6 +140,4 @@ def _stage_new_only(staged: DataFrame, stored: DataFrame) -> str:
     known = stored.select(*identity)
     if bounds["lo"] is not None:
         known = known.where(F.col("queryStartMs").between(bounds["lo"], bounds["hi"]))
-    target = f"{new_staging_dir(staged.sparkSession)}/profiles"
-    staged.join(known, identity, "left_anti").select(*staged.columns).write.parquet(target)
-    return target
+    return staged.join(known, identity, "left_anti").select(*staged.columns)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.model import TABLE_NAMES, state_names
+from tickloom.model import TABLE_DDL, TABLE_NAMES, state_names
 
 
 def read_table(spark: SparkSession, output_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{output_dir}/{name}")
-    return df.drop("ingest_range")
+    """One stored table; the schema is known, so no file is opened to find it out."""
+    return spark.read.schema(TABLE_DDL[name]).parquet(f"{output_dir}/{name}").drop("ingest_range")
 
 
 def read_tables(spark: SparkSession, output_dir: str) -> dict[str, DataFrame]:
@@ -24,6 +24,6 @@ def existing_queries(spark: SparkSession, output_dir: str) -> DataFrame | None:
     try:
         return read_table(spark, output_dir, "queries")
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise

@@ -24,7 +24,7 @@ CHUNK_SIZE = 1000
 PROFILES = """
 SELECT o_orderkey AS k,
   concat('q', CAST(o_orderkey - (CASE WHEN o_orderkey%10=2 THEN 1 ELSE 0 END) AS varchar(20))) AS queryId,
-  CASE WHEN o_orderkey%10=2 THEN 1 ELSE 0 END AS attempt,
+  CAST(CASE WHEN o_orderkey%10=2 THEN 1 ELSE 0 END AS bigint) AS attempt,
   concat('u', CAST(o_custkey%5 AS varchar(20))) AS userId,
   b AS startMs, b+k7+1000+(o_orderkey*31)%20000 AS endMs,
   o_orderkey%13 AS poolWait, o_orderkey%50 AS fragments,
@@ -51,8 +51,8 @@ FROM (SELECT *, 1700000000000 + (o_orderkey*7919)%3600000 AS b, o_orderkey%7+1 A
 # Whole megabytes, so that sums and averages are exact in both engines.
 NODES = """
 SELECT l_orderkey AS k, concat('node-', CAST(l_suppkey%8 AS varchar(20))) AS endpointAddress,
-  45678 + l_linenumber%2 AS endpointFabricPort,
-  l_partkey*1048576 AS maxMemoryUsed, l_linenumber AS enqueuedBeforeSubmitMs
+  CAST(45678 + l_linenumber%2 AS bigint) AS endpointFabricPort,
+  l_partkey*1048576 AS maxMemoryUsed, CAST(l_linenumber AS bigint) AS enqueuedBeforeSubmitMs
 FROM lineitem WHERE l_orderkey%5<>0
 """
 
@@ -139,7 +139,7 @@ def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nodes, "k", "left")
         .select(
             F.concat(F.lit("profile_"), "queryId", F.lit(".json")).alias("file_name"),
-            F.col("attempt").cast("bigint").alias("attempt"),
+            "attempt",
             line.alias("line"),
         )
     )

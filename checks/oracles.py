@@ -9,7 +9,7 @@ from __future__ import annotations
 from checks.derived_profiles import CHUNK_SIZE, NODES, PROFILES, TICK_MS
 
 _STATES = """
-  SELECT * FROM (VALUES (0,'INVALID_STATE'),(1,'PENDING'),(2,'METADATA_RETRIEVAL'),(3,'PLANNING'),
+  SELECT CAST(id AS BIGINT) AS id, stateName FROM (VALUES (0,'INVALID_STATE'),(1,'PENDING'),(2,'METADATA_RETRIEVAL'),(3,'PLANNING'),
     (4,'QUEUED'),(5,'ENGINE_START'),(6,'EXECUTION_PLANNING'),(7,'STARTING'),(8,'RUNNING'),
     (9,'COMPLETED'),(10,'CANCELED'),(11,'FAILED')) AS v(id, stateName)
 """
@@ -19,7 +19,7 @@ WITH prof AS ({PROFILES}),
 nodes AS ({NODES}),
 state_names AS ({_STATES}),
 marks AS (
-  SELECT k, c, t FROM (
+  SELECT k, CAST(c AS BIGINT) AS c, t FROM (
     SELECT k, 1 AS c, s1 AS t FROM prof UNION ALL SELECT k, 2, s2 FROM prof
     UNION ALL SELECT k, 3, s3 FROM prof UNION ALL SELECT k, 4, s4 FROM prof
     UNION ALL SELECT k, 6, s6 FROM prof UNION ALL SELECT k, 7, s7 FROM prof
@@ -172,7 +172,7 @@ _ANSWERS = {
         FROM phases JOIN prof USING (k)""",
     "ticks_table": """SELECT queryId, attempt, tickMs, state AS queryState, durationMs AS stateDurationMs
         FROM ticks JOIN prof USING (k)""",
-    "query_numbers": "SELECT 1 AS firstNumber, count(*) AS lastNumber, count(*) AS numbers FROM prof",
+    "query_numbers": "SELECT CAST(1 AS BIGINT) AS firstNumber, count(*) AS lastNumber, count(*) AS numbers FROM prof",
     "attempts": "SELECT queryId, count(*) AS attempts, max(attempt) AS lastAttempt FROM prof GROUP BY 1",
     # joins and aggregations
     "left_join_missing_state": """SELECT tickMs, state AS code, CASE WHEN state <> 6 THEN code || ' (' || stateName || ')' END AS queryState,

@@ -64,8 +64,8 @@ def scan_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "userId",
         "queryStartMs",
         "queryEndMs",
-        F.length("queryText").alias("textLength"),
-        F.size("nodeProfile").alias("nodes"),
+        F.length("queryText").cast("bigint").alias("textLength"),
+        F.size("nodeProfile").cast("bigint").alias("nodes"),
     )
 
 
@@ -84,8 +84,8 @@ def parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         "userId",
         "queryStartMs",
         "queryText",
-        F.size(F.array_compact("stateStarts")).alias("states"),
-        F.size("nodeProfile").alias("nodes"),
+        F.size(F.array_compact("stateStarts")).cast("bigint").alias("states"),
+        F.size("nodeProfile").cast("bigint").alias("nodes"),
     )
 
 

@@ -186,6 +186,8 @@ _ANSWERS = {
     "view_tick_node_agg": _V3,
     "view_state_tick": _V4,
     "view_state_tick_agg": _V5,
+    "eager_view_tick_node_agg_1": _V2,
+    "eager_view_tick_node_agg": _V3,
     "late_view_ticks_nodes": _V1,
     "late_view_tick_node_agg_1": _V2,
     "late_view_tick_node_agg": _V3,

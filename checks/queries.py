@@ -349,6 +349,10 @@ def _late_view(name: str) -> Query:
     return lambda spark, sf_dir: getattr(late_views, name)(tables(spark, sf_dir), TICK_MS).drop("qNum")
 
 
+def _eager_view(name: str) -> Query:
+    return lambda spark, sf_dir: getattr(views, name)(tables(spark, sf_dir), eager=True)
+
+
 VIEWS = ("ticks_nodes", "tick_node_agg_1", "tick_node_agg", "state_tick", "state_tick_agg")
 
 
@@ -393,5 +397,6 @@ def queries() -> dict[str, Query]:
         "ticks_per_state": per_state,
         "reconcile": reconciled,
         **{f"view_{name}": _view(name) for name in VIEWS},
+        **{f"eager_view_{name}": _eager_view(name) for name in VIEWS[1:3]},
         **{f"late_view_{name}": _late_view(name) for name in VIEWS},
     }

@@ -87,6 +87,11 @@ def test_late_views_equal_stored_views(tables, name):
     assert stored.count() > 0
 
 
+@pytest.mark.parametrize("name", ["tick_node_agg_1", "tick_node_agg"])
+def test_eager_views_equal_plain_views(tables, name):
+    assert rows(getattr(views, name)(tables, eager=True)) == rows(getattr(views, name)(tables))
+
+
 def test_against_plain_python(tables, random_entries):
     """The per-query view and the state view, recomputed row by row."""
     per_node, per_state = {}, {}
@@ -204,3 +209,22 @@ def test_plans(tables):
     assert count_in_plan(late_views.state_tick_agg(tables, TICK), "Exchange ") == 3
     assert "Join" not in plan(late_views.state_tick(tables, TICK))
     assert "queryTextFirstChunk" not in plan(late_views.state_tick_agg(tables, TICK))
+
+
+def test_skewed_ticks_are_split_in_the_header_join(spark, tmp_path, conf):
+    """One query holds most of the stored ticks: its join partition is split at run time."""
+    long = profile([(1, 1_000), (8, 2_000), (9, 4_000_000)])
+    entries = [("long", 0, long), *[(f"s{i}", 0, profile()) for i in range(50)]]
+    t = build(spark, str(tmp_path / "t"), entries)
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.files.maxPartitionBytes", "20000")
+    conf("spark.sql.files.openCostInBytes", "0")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20000")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    tables_many = t | {"ticks": t["ticks"].repartition(16)}
+    tables_many["ticks"].write.parquet(str(tmp_path / "ticks"))
+    tables_many["ticks"] = spark.read.parquet(str(tmp_path / "ticks"))
+    joined = views.state_tick(tables_many)
+    assert len(joined.collect()) == t["ticks"].count()
+    assert "skew=true" in plan(joined)

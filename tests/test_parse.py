@@ -155,6 +155,17 @@ def test_text_chunks(spark, text, chunks):
     assert rows(rebuild_text(pieces)) == ([(1, text)] if text else [])
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000, 50_000])
+def test_a_long_text_of_mixed_characters_is_cut_by_characters(spark, size):
+    text = "a😀é\n\r\u2028b" * 6_000
+    numbered = number_profiles(usable(parsed(spark, profile(query=text))), buckets=2)
+    pieces = text_chunks(numbered, size)
+    assert [r.chunkText for r in pieces.orderBy("chunkNum").collect()] == [
+        text[i : i + size] for i in range(0, len(text), size)
+    ]
+    assert rows(rebuild_text(pieces)) == [(1, text)]
+
+
 def test_nodes(spark):
     numbered = number_profiles(
         usable(parsed(spark, profile(nodes=[node("a", 1, 10, 5), node("a", 1, 20, 6)]), profile())),

@@ -28,26 +28,15 @@ def queries_table(numbered: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE) ->
 
 
 def text_chunks(numbered: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
-    """The query text cut into pieces of ``chunk_size`` characters; none for an empty text."""
-    last = F.col("nrQueryChunks") - 1
-    size = F.lit(chunk_size)
-    return (
-        numbered.select(
-            "qNum", "queryText", chunk_count(F.col("queryText"), chunk_size).alias("nrQueryChunks")
-        )
-        .where("nrQueryChunks > 0")
-        .select(
-            "qNum",
-            "queryText",
-            F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last))).alias("chunkNum"),
-        )
-        .select(
-            "qNum",
-            "chunkNum",
-            F.substring(
-                F.col("queryText"), (F.col("chunkNum") * size + 1).cast("int"), size
-            ).alias("chunkText"),
-        )
+    """The query text cut into pieces of ``chunk_size`` characters; none for an empty text.
+
+    One pass of a pattern cuts the whole text; taking substrings one by one would count
+    characters from the start each time.  The quantifier is possessive, hence needs no
+    stack, and a character outside the basic plane counts as one.
+    """
+    pieces = F.regexp_extract_all("queryText", F.lit(f"(?s).{{1,{int(chunk_size)}}}+"), F.lit(0))
+    return numbered.select("qNum", F.posexplode(pieces).alias("chunkNum", "chunkText")).select(
+        "qNum", F.col("chunkNum").cast("bigint").alias("chunkNum"), "chunkText"
     )
 
 

@@ -99,23 +99,25 @@ def curriculum(
     sizes = [r["size"] for r in totals]
     targets = shared_targets([a[-1] for a in areas], sizes, share * sum(sizes), max_epochs)
     plan = []
-    for r, k, a, target in zip(totals, knots, areas, targets, strict=True):
+    for i, (r, k, a, target) in enumerate(zip(totals, knots, areas, targets, strict=True)):
         scale = target / a[-1] if a[-1] else 0.0
-        plan.append((r.source, r["size"], target, [t for t, _ in k], [x * scale for x in a], [w * scale for _, w in k]))
+        plan.append((i, r.source, r["size"], target, [t for t, _ in k], [x * scale for x in a], [w * scale for _, w in k]))
     # One row for each of at most MAX_SOURCES sources.
     sources = F.broadcast(
         spark.createDataFrame(
-            plan, "source string, source_size long, target double, times array<double>, demand array<double>, rates array<double>"
+            plan, "sid int, source string, source_size long, target double, times array<double>, demand array<double>, rates array<double>"
         )
     )
-    placed = rows.withColumn("bucket", bucket).join(sources, rows.source.eqNullSafe(sources.source), "inner").drop(sources.source)
+    placed = rows.withColumn("bucket", bucket).join(sources, rows.source.eqNullSafe(sources.source)).drop("source")
     before = (
-        rows.groupBy(F.col("source").alias("s"), bucket.alias("b"))
+        placed.groupBy("sid", "bucket")
         .agg(F.sum("size").alias("n"))
-        .withColumn("base", F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n"))
+        .withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n"))
+        .drop("n")
     )
-    placed = placed.join(before, placed.source.eqNullSafe(before.s) & (placed.bucket == before.b))
-    line = Window.partitionBy("source", "bucket").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    # Joined and summed on the same keys: rows move once.
+    placed = placed.join(before, ["sid", "bucket"])
+    line = Window.partitionBy("sid", "bucket").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("offset", F.col("base") + F.sum("size").over(line) - F.col("size"))
 
     def copy(e):

@@ -27,10 +27,11 @@ WITH sized AS (
     WINDOW before AS (ORDER BY 2 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), levels AS (
     SELECT *, (budget - cap_before) / w_left AS level, cap > (budget - cap_before) / w_left * w AS open FROM filling
+), edge AS (
+    SELECT first(level ORDER BY cap / w, source) AS level FROM levels WHERE open
 ), targets AS (
-    SELECT source, source_size,
-        CASE WHEN bool_or(open) OVER (ORDER BY cap / w, source) THEN w * first(level) FILTER (open) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE cap END::double AS target
-    FROM levels
+    SELECT source, source_size, (CASE WHEN edge.level IS NULL OR cap <= w * edge.level THEN cap ELSE w * edge.level END)::double AS target
+    FROM levels, edge
 ), placed AS (
     SELECT s.doc_id, s.size, t.source_size, t.target,
         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
@@ -68,8 +69,8 @@ s AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 links AS (
     SELECT p.a, p.b FROM (
-        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
-    ) p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * both >= 80 * (na.n + nb.n - both)
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+    ) p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
 ), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN edges e ON e.a = reach.r)
 SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, min(r)::bigint AS component_id, d.doc_id = min(r) AS kept

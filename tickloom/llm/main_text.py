@@ -36,7 +36,7 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr img picture source".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and marks that stand for page furniture where no labelled page has shown otherwise.
+#: Elements and marks that are page furniture wherever they stand.
 FURNITURE = frozenset("nav footer aside form button menu dialog head".split())
 FURNITURE_MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation navbox "
@@ -108,8 +108,12 @@ class _Walk:
 
 
 def learn(counts: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Log odds of each kind from its words inside and outside of articles."""
-    return {kind: math.log((inside + 1) / (outside + 1)) for kind, inside, outside in counts}
+    """Log odds of each kind from its words inside and outside of articles.
+
+    A kind that holds words of articles is a wrapper of them, whatever else it holds.
+    """
+    odds = {kind: math.log((inside + 1) / (outside + 1)) for kind, inside, outside in counts}
+    return {kind: max(odds[kind], 0.0) if inside else odds[kind] for kind, inside, _ in counts}
 
 
 def _noise(kinds: list[str], weights: dict[str, float]) -> bool:
@@ -118,9 +122,11 @@ def _noise(kinds: list[str], weights: dict[str, float]) -> bool:
         if kind == "article":
             inside = True
         name, _, mark = kind.partition(".")
-        known = weights.get(kind)
-        furniture = name in FURNITURE or mark in FURNITURE_MARKS or (name == "header" and not inside)
-        if known is not None and known < 0 and name not in ("article", "main", "body", "html") or furniture and (known is None or known < 0):
+        if name in ("article", "main", "body", "html"):
+            continue
+        heading = inside and "header" in (name, mark)
+        furniture = name in FURNITURE or mark in FURNITURE_MARKS or name == "header"
+        if furniture and not heading or weights.get(kind, 0.0) < 0:
             return True
     return False
 

@@ -90,6 +90,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     theta = np.zeros(p.shape[1] + 1)
     theta[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    # A small sample is held closer to the prior.
+    decay = 1e-4 + 0.2 / len(p)
     p1, u1 = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
     for step in range(1, STEPS + 1):
         zp, zu = np.clip(p1 @ theta, -30, 30), np.clip(u1 @ theta, -30, 30)
@@ -97,7 +99,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         grad_negative = u1.T @ su / len(u1) - prior * (p1.T @ sp) / len(p1)
         grad = prior * (p1.T @ (sp - 1)) / len(p1) + grad_negative if negative >= 0 else -grad_negative
-        grad[:-1] += 1e-4 * theta[:-1]
+        grad[:-1] += decay * theta[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Model(centre, scale, theta[:-1], float(theta[-1]), prior)

@@ -13,7 +13,7 @@ SHARED = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only if it is unset."""
-    folder = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
+    folder = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {SHARED} to a folder that all executors share")

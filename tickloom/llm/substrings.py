@@ -35,7 +35,8 @@ NO_ID = (1 << 63) - 1
 U64 = W.U64
 
 PACKED = "grp long, hash binary, doc binary, pos binary, ids binary, found binary"
-FOUND = "doc_id long, th long, found binary"
+FOUND = "part long, ids binary, counts binary, found binary"
+PER_DOCUMENT = "doc_id long, th long, found binary"
 
 
 def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,23 +90,31 @@ class _Packer:
             met[np.flatnonzero(new)] = np.logical_or.reduceat(other, np.flatnonzero(new))
             done, on = met[first], new
         value = p if self.ordered else h
-        for doc, (v,) in by_group(d[done], [value[done]]):
-            out.append((-1 - doc % 16, None, None, None, keys[doc].tobytes(), v.tobytes()))
+        if done.any():
+            order = np.argsort(d[done], kind="stable")
+            doc, count = np.unique(d[done], return_counts=True)
+            value = _as_bytes(value[done][order], self.ordered).tobytes()
+            out.append((-1 - int(doc[0]) % 16, None, count.astype(np.int64).tobytes(), None, keys[doc].tobytes(), value))
         h, d, p = h[on], d[on], p[on]
         for g, (hs, ds, ps) in by_group((h % U64(self.groups)).astype(np.int64), [h, d, p]):
             order = np.argsort(ds, kind="stable")
             hs, ds, ps = hs[order], ds[order], ps[order]
             used, local = np.unique(ds, return_inverse=True)
-            out.append((g, hs.tobytes() if self.ordered else _six(hs), local.astype(np.uint32).tobytes(), ps.tobytes() if self.ordered else None, keys[used].tobytes(), None))
+            out.append((g, hs.tobytes() if self.ordered else _as_bytes(hs, False).tobytes(), local.astype(np.uint32).tobytes(), ps.tobytes() if self.ordered else None, keys[used].tobytes(), None))
         self.clear()
         kinds = (pa.int64(), *[pa.binary()] * 5)
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=["grp", "hash", "doc", "pos", "ids", "found"])
 
 
-def _six(h: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash; a chance match only adds a place to look at."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def _as_bytes(values: np.ndarray, ordered: bool) -> np.ndarray:
+    """Positions as four bytes each; of anchor hashes the upper six bytes.
+
+    A chance match of shortened anchors only adds a place to look at.
+    """
+    if ordered:
+        return np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
 
 
 def _from_six(data: bytes) -> np.ndarray:
@@ -133,20 +142,34 @@ def _anchor_rows(groups: int):
     return run
 
 
-def _found_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "th", "found"])
+def _by_document(keys: np.ndarray, counts: np.ndarray, values: np.ndarray, parts: int) -> pa.Table:
+    """What documents learn, packed into one row for each part of the documents."""
+    part = (W.mix(keys[:, 0].view(U64) ^ W.mix(keys[:, 1].view(U64))) % U64(parts)).astype(np.int64)
+    owner = np.repeat(np.arange(len(keys)), counts)
+    rows = [
+        (p, keys[docs].tobytes(), counts[docs].tobytes(), values[mine].tobytes())
+        for (p, (docs,)), (_, (mine,)) in zip(
+            by_group(part, [np.arange(len(keys))]), by_group(part[owner], [np.arange(len(owner))]), strict=True
+        )
+    ]
+    columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["part", "ids", "counts", "found"])
 
 
-def _met(ordered: bool):
+def _met(ordered: bool, parts: int):
     """Per group of hashes: what each document learns about its entries."""
+    width = 4 if ordered else 6
 
     def run(table: pa.Table) -> pa.Table:
-        out, hs, ds, ps, ks, base = [], [], [], [], [], 0
+        known_keys, known_counts, known = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], [np.empty((0, width), np.uint8)]
+        hs, ds, ps, ks, base = [], [], [], [], 0
         for h, d, p, ids, found in zip(*(table[c].to_pylist() for c in ("hash", "doc", "pos", "ids", "found")), strict=True):
             keys = np.frombuffer(ids, np.int64).reshape(-1, 2)
             if found is not None:
-                out.append((int(keys[0, 0]), int(keys[0, 1]), found if ordered else _six(np.frombuffer(found, U64))))
+                known_keys.append(keys)
+                known_counts.append(np.frombuffer(d, np.int64))
+                known.append(np.frombuffer(found, np.uint8).reshape(-1, width))
                 continue
             hs.append(np.frombuffer(h, U64) if ordered else _from_six(h))
             ds.append(np.frombuffer(d, np.uint32).astype(np.int64) + base)
@@ -165,9 +188,30 @@ def _met(ordered: bool):
                 differ = (keys[d[order]] != keys[d[first]]).any(axis=1)
                 hit = np.repeat(np.logical_or.reduceat(differ, at[:-1]), np.diff(at))
                 value = h[order][hit]
-            for doc, (v,) in by_group(d[order][hit], [value]):
-                out.append((int(keys[doc, 0]), int(keys[doc, 1]), v.tobytes() if ordered else _six(v)))
-        return _found_table(out)
+            doc = d[order][hit]
+            order = np.argsort(doc, kind="stable")
+            which, count = np.unique(doc, return_counts=True)
+            known_keys.append(keys[which])
+            known_counts.append(count.astype(np.int64))
+            known.append(_as_bytes(value[order], ordered))
+        return _by_document(np.concatenate(known_keys), np.concatenate(known_counts), np.concatenate(known), parts)
+
+    return run
+
+
+def _merged(width: int):
+    """Per part of the documents: one row for each document with all it has learned."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = unpack(table["ids"].to_pylist(), "i8").reshape(-1, 2)
+        counts, values = unpack(table["counts"].to_pylist(), "i8"), unpack(table["found"].to_pylist(), "u1").reshape(-1, width)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        new = np.concatenate([[True], (np.diff(keys[order], axis=0) != 0).any(axis=1)])[: len(order)]
+        document = np.empty(len(order), np.int64)
+        document[order] = np.cumsum(new) - 1
+        rows = [(*keys[order[new]][i].tolist(), v.tobytes()) for i, (v,) in by_group(np.repeat(document, counts), [values])]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "th", "found"])
 
     return run
 
@@ -186,7 +230,7 @@ def _window_rows(groups: int):
                     continue
                 seen.add(key)
                 at, values = _anchors(words)
-                met = np.unique(_from_six(b"".join(known[i])))
+                met = np.unique(_from_six(known[i]))
                 at = at[np.isin(values >> U64(16) << U64(16), met)]
                 edge = np.zeros(len(words) + 1, np.int32)
                 np.add.at(edge, np.maximum(at - PERIOD + 1, 0), 1)
@@ -211,7 +255,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = W.SPACED.spans(body)
             stay = np.ones(len(a), bool)
             if found:
-                start = unpack(found, "u4").astype(np.int64)
+                start = np.frombuffer(found, "<u4").astype(np.int64)
                 edge = np.zeros(len(a) + 1, np.int32)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + LENGTH, -1)
@@ -229,10 +273,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _per_document(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id", "th").agg(F.collect_list("found").alias("found"))
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for each row of ``docs(doc_id, text)``.
 
@@ -247,10 +287,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ).withColumn("th", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = 1 + size // BYTES_PER_GROUP
-    met = docs.mapInArrow(_anchor_rows(groups), PACKED).groupBy("grp").applyInArrow(_met(False), FOUND)
-    places = docs.join(_per_document(met), ["doc_id", "th"])
-    starts = places.mapInArrow(_window_rows(groups), PACKED).groupBy("grp").applyInArrow(_met(True), FOUND)
-    removed = staged(_per_document(starts), "removed")
+
+    def learned(packed: DataFrame, ordered: bool) -> DataFrame:
+        met = packed.groupBy("grp").applyInArrow(_met(ordered, groups), FOUND)
+        return met.groupBy("part").applyInArrow(_merged(4 if ordered else 6), PER_DOCUMENT)
+
+    met = learned(docs.mapInArrow(_anchor_rows(groups), PACKED), ordered=False)
+    places = docs.join(met, ["doc_id", "th"])
+    removed = staged(learned(places.mapInArrow(_window_rows(groups), PACKED), ordered=True), "removed")
     out = docs.join(removed, ["doc_id", "th"], "left").mapInArrow(
         _kept, "doc_id long, th long, n_words long, n_removed long, kept_text string"
     )

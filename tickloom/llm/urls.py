@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.staging import staged
+
 TRAINING_URLS = 20_000
 MAX_RULES = 2_000
 TREES, DEPTH = 12, 3
@@ -122,9 +124,8 @@ def train(labelled: DataFrame) -> Judge:
         return Judge(None, None, float(bool(total and ones)))
     share = int(min(1.0, TRAINING_URLS / total) * (1 << 20))
     sample = _lexical(_urls(known, "label")).where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share)
-    suffixes = sample.groupBy("suffix").agg(
-        ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_count")
-    ).checkpoint()
+    rate, count = (F.sum("label") + 1) / (F.count("*") + 2), F.log1p(F.count("*"))
+    suffixes = staged(sample.groupBy("suffix").agg(rate.alias("suffix_rate"), count.alias("suffix_count")), "suffixes")
     rows = _with_suffixes(sample, suffixes).select(*FEATURES, F.col("label").cast("double").alias("label"))
     if rows.agg(F.countDistinct("label")).first()[0] < 2:
         return Judge(None, None, ones / total)

@@ -18,6 +18,7 @@ from tickloom.llm.staging import staged
 
 QUERIES_PER_BLOCK = 2048
 SHARD_ROWS = 4096
+SHARDS_PER_TASK = 4
 MERGE_WAYS = 16
 EXACT = float(1 << 53)
 SCALE = 256
@@ -108,11 +109,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         .select("block", F.col("rows.vec_id").alias("q_ids"), F.col("rows.v").alias("q_vectors")),
         "queries",
     )
+    # A block of queries goes to as many tasks as the shards need.
+    ways = 1 + n * every // (SHARD_ROWS * SHARDS_PER_TASK)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
     shards = clean.mapInArrow(_blocks("c", SHARD_ROWS), schema.format("c"))
     tiles = (
         shards.withColumn("tile", F.monotonically_increasing_id())
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .join(asked, "block")
+        .withColumn("way", F.pmod(F.xxhash64("tile"), F.lit(ways)).cast("int"))
+        .join(asked.withColumn("way", spread), ["block", "way"])
         .select("tile", "q_ids", "q_vectors", "c_ids", "c_vectors")
     )
     lists = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score long, tile long")

@@ -148,7 +148,7 @@ _ANSWERS = {
     # projections, filters, scalar functions
     "query_header": _HEADER,
     "scheduling_group": _SCHEDULING,
-    "query_cost": "SELECT queryId, attempt, queryCost FROM queries WHERE queryCost IS NOT NULL",
+    "query_cost": "SELECT queryId, attempt, queryCost FROM queries",
     "query_text_first_chunk": "SELECT queryId, attempt, queryTextFirstChunk FROM queries",
     "query_chunk_count": "SELECT queryId, attempt, nrQueryChunks FROM queries",
     "tick_floor": f"SELECT queryId, attempt, startMs - startMs % {TICK_MS} AS startTick FROM prof",

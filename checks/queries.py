@@ -214,7 +214,7 @@ def scheduling_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = usable(parse_profiles(profile_lines(spark, sf_dir)))
-    return profiles.where("queryCost IS NOT NULL").select(*ID, "queryCost")
+    return profiles.select(*ID, "queryCost")
 
 
 def _column(*columns: str) -> Query:

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from checks import oracles, queries
 from checks.compare import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -16,10 +17,10 @@ def duck():
 
 
 def test_every_query_has_an_answer():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_query(spark, duck, name):
     assert differences(spark, duck, name, SF_DIR) is None
 

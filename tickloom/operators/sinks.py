@@ -28,18 +28,47 @@ def new_staging_dir(spark: SparkSession) -> str:
     return f"{staging_root(spark).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
 
-def range_bounds() -> list[Column]:
-    """First and last query start of a batch; a start of 0 does not count."""
+def range_bounds(counted: Column | None = None) -> list[Column]:
+    """First and last query start of a batch's ``counted`` rows; a start of 0 does not count."""
     start = none_if_zero(F.col("queryStartMs"))
+    if counted is not None:
+        start = F.when(counted, start)
     return [
         F.coalesce(F.min(start), F.lit(0)).alias("firstStartMs"),
         F.coalesce(F.max(start), F.lit(0)).alias("lastStartMs"),
     ]
 
 
-def range_name(first_start_ms: int, last_start_ms: int, tag: str | None = None) -> str:
-    name = f"{first_start_ms}_{last_start_ms}"
-    return f"{name}_{tag}" if tag else name
+def batch_digest(lines: DataFrame) -> str:
+    """The same for the same set of file names, in any order; another for another set."""
+    names = lines.select("file_name").distinct()
+    total = names.agg(F.sum(F.xxhash64("file_name").cast("decimal(38,0)")).alias("n")).first()["n"]
+    return f"{int(total or 0) % (1 << 64):016x}"
+
+
+def range_name(*parts: int | str | None) -> str:
+    """First and last start, digest and tag of a batch, as far as they are given."""
+    return "_".join(str(p) for p in parts if p is not None)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def remove_others(spark: SparkSession, path: str, keep: str, ending: str = "") -> None:
+    """Remove what lies directly below ``path`` but ``keep``: all of it, or what ends like it."""
+    where, fs = _file_system(spark, path)
+    if fs.exists(where):
+        for child in fs.listStatus(where):
+            name = child.getPath().getName()
+            if name != keep and name.endswith(ending):
+                fs.delete(child.getPath(), True)
 
 
 def write_table(

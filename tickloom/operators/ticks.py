@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import tick_floor
@@ -18,6 +18,8 @@ from tickloom.functions.states import CODES, phases, state_code
 from tickloom.model import DEFAULT_TICK_MS, STATE_START_COLUMNS
 
 SLICE_TICKS = 36_000
+# Tasks get about as many ticks at most; small expansions are spread finer.
+TICKS_PER_TASK, TICKS_PER_SMALL_TASK = 2_000_000, 200_000
 
 
 def profile_phases(profiles: DataFrame, keep: list[str], only: int | None = None) -> DataFrame:
@@ -84,13 +86,14 @@ def spread_and_expand(
 
     What moves between tasks is slices, not ticks.  The number of partitions is
     given outright because adaptive execution would merge partitions by their size
-    before the expansion.
+    before the expansion; without ``partitions`` it follows from the number of ticks,
+    which is one sum over the ranges.
     """
     tick = F.lit(tick_ms).cast("bigint")
     first, last = F.col("firstTick"), F.col("lastTick")
     width = F.lit(tick_ms * SLICE_TICKS).cast("bigint")
     rest = [c for c in ranges.columns if c not in ("firstTick", "lastTick")]
-    n = partitions or shuffle_partitions(ranges)
+    n = partitions or task_count(ranges, ranges.agg(F.sum(ticks_in_range(tick_ms))).first()[0] or 0)
     slices = ranges.select(
         *rest,
         "lastTick",
@@ -102,6 +105,16 @@ def spread_and_expand(
     )
 
 
+def task_count(df: DataFrame, ticks: int) -> int:
+    """Tasks for an expansion: growing with the ticks, and not bound by a setting."""
+    small = min(shuffle_partitions(df), -(-ticks // TICKS_PER_SMALL_TASK))
+    return max(1, small, -(-ticks // TICKS_PER_TASK))
+
+
+def ticks_in_range(tick_ms: int) -> Column:
+    return F.expr(f"(lastTick - firstTick) div {int(tick_ms)} + 1")
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -124,8 +137,7 @@ def ticks_per_state(ticks: DataFrame) -> DataFrame:
 
 def expected_ticks_per_state(ranges: DataFrame, tick_ms: int) -> DataFrame:
     """The same count worked out from the phases, without expanding them."""
-    per_phase = F.expr(f"(lastTick - firstTick) div {int(tick_ms)} + 1")
-    return ranges.groupBy("queryState").agg(F.sum(per_phase).alias("expectedTicks"))
+    return ranges.groupBy("queryState").agg(F.sum(ticks_in_range(tick_ms)).alias("expectedTicks"))
 
 
 def reconcile(profiles: DataFrame, ticks: DataFrame, tick_ms: int) -> DataFrame:

@@ -10,22 +10,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.model import DEFAULT_CHUNK_SIZE, DEFAULT_TICK_MS
 from tickloom.operators.numbering import next_base, number_staged
 from tickloom.operators.sinks import (
+    batch_digest,
     new_staging_dir,
     range_bounds,
     range_name,
+    remove,
+    remove_others,
     write_table,
 )
 from tickloom.operators.tables import nodes_table, queries_table, text_chunks
 from tickloom.operators.ticks import (
     expected_ticks_per_state,
     profile_phases,
-    shuffle_partitions,
+    task_count,
     tick_ranges,
     ticks_per_state,
     ticks_table,
@@ -34,7 +38,7 @@ from tickloom.sources.profile_files import read_profile_lines
 from tickloom.sources.profile_json import parse_profiles, quarantined, usable
 from tickloom.sources.tables import existing_queries
 
-TICKS_PER_FILE = 200_000
+QUARANTINE_DDL = "file_name STRING, attempt BIGINT, problem STRING, line STRING"
 
 
 @dataclass(frozen=True)
@@ -64,14 +68,17 @@ def ingest_lines(
     replace: bool = False,
     skip_existing: bool = False,
     tag: str | None = None,
+    keep_staging: bool = False,
 ) -> IngestReport:
     """Ingest ``(file_name, attempt, line)``.
 
     By default the run becomes one partition per table, named after the first and
-    last query start (and ``tag``); the same input again replaces its own partition.
-    ``replace`` writes each table as a whole instead.  ``skip_existing`` leaves out
+    last query start of its usable profiles, a digest of its file names (and ``tag``);
+    the same files again replace their own partition, other files never do.
+    ``replace`` removes everything else that is stored.  ``skip_existing`` leaves out
     profiles that are stored already and adds the rest, so overlapping inputs do
-    not repeat rows.
+    not repeat rows.  The staged profiles are removed at the end unless
+    ``keep_staging`` is set.
     """
     if tick_ms < 1 or chunk_size < 1:
         raise ValueError("tick_ms and chunk_size must be at least 1")
@@ -83,38 +90,65 @@ def ingest_lines(
         base = next_base(stored)
 
     staged_dir, staged = _stage(parse_profiles(lines, strict=strict))
+    finished = [staged_dir]
+    digest = batch_digest(staged)
     if skip_existing and stored is not None:
         staged_dir, staged = _stage(_new_only(staged, stored))
+        finished.append(staged_dir)
     facts = staged.agg(
-        *range_bounds(),
+        *range_bounds(F.col("problem").isNull()),
         F.count_if(F.col("problem").isNull()).alias("profiles"),
         F.count_if(F.col("problem").isNotNull()).alias("quarantined"),
     ).first()
     ranges = tick_ranges(profile_phases(usable(staged), []), tick_ms)
     expected = _by_state(expected_ticks_per_state(ranges, tick_ms), "expectedTicks")
-    tick_files = min(shuffle_partitions(staged), -(-sum(expected.values()) // TICKS_PER_FILE))
+    tick_files = task_count(staged, sum(expected.values()))
 
     numbered = usable(number_staged(staged, f"{staged_dir}-offsets", base))
     tables = {
         "query_text": text_chunks(numbered, chunk_size),
         "nodes": nodes_table(numbered),
-        "ticks": ticks_table(numbered, tick_ms, max(tick_files, 1)),
+        "ticks": ticks_table(numbered, tick_ms, tick_files),
         # Last, because the views join to it: rows of a run that broke off are never seen.
         "queries": queries_table(numbered, chunk_size).sortWithinPartitions("queryStartMs"),
     }
-    name = range_name(facts["firstStartMs"], facts["lastStartMs"], tag)
-    part = None if replace else name
+    own = range_name(digest, tag)
+    name = range_name(facts["firstStartMs"], facts["lastStartMs"], own)
     mode = "append" if skip_existing else "overwrite"
-    if facts["quarantined"]:
-        write_table(quarantined(staged), output_dir, "quarantine", part, mode)
-    paths = {t: write_table(df, output_dir, t, part, mode) for t, df in tables.items()}
+    bad = quarantined(staged)
+    if skip_existing:
+        bad = _not_listed(bad, output_dir, own)
+    # Always written, so that a corrected batch leaves no stale lines.
+    write_table(bad, output_dir, "quarantine", own)
+    paths = {t: write_table(df, output_dir, t, name, mode) for t, df in tables.items()}
+    for table in paths:
+        if not skip_existing:
+            remove_others(spark, f"{output_dir}/{table}", f"ingest_range={name}", "" if replace else f"_{own}")
+    if replace:
+        remove_others(spark, f"{output_dir}/quarantine", f"ingest_range={own}")
 
     written = _by_state(ticks_per_state(spark.read.parquet(paths["ticks"])), "tickMs")
+    if not keep_staging:
+        for path in finished:
+            remove(spark, path.removesuffix("/profiles"))
     return IngestReport(
         name, base, facts["profiles"], facts["quarantined"], staged_dir, expected, written
     )
 
 
+def _not_listed(bad: DataFrame, output_dir: str, own: str) -> DataFrame:
+    """Bad lines that no other batch has listed."""
+    spark = bad.sparkSession
+    try:
+        listed = spark.read.schema(f"{QUARANTINE_DDL}, ingest_range STRING").parquet(f"{output_dir}/quarantine")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return bad
+        raise
+    others = listed.where(F.col("ingest_range") != own)
+    return bad.join(others.select("file_name", "attempt", "line"), ["file_name", "attempt", "line"], "left_anti")
+
+
 def _by_state(counts: DataFrame, column: str) -> dict[int, int]:
     """At most one row per state code."""
     rows = counts.select("queryState", column).orderBy("queryState").collect()

@@ -21,7 +21,8 @@ from tickloom.model import (
 )
 from tickloom.sources.profile_files import query_id_from_file
 
-JSON_OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+# Texts of any length: the parser's own limit is 20 million characters.
+JSON_OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "maxStringLen": "2147483647"}
 # Set by the parser on a line with anything wrong in it, be it only an optional field.
 OBJECTION = "_objection"
 
@@ -45,6 +46,19 @@ _GROUP_KEYS = (
     "ruleName",
     "schedulingProperties",
 )
+_NUMBERS = (
+    "start",
+    "end",
+    "commandPoolWaitMillis",
+    "totalFragments",
+    "finishedFragments",
+    "planningStart",
+    "planningEnd",
+    "executionStart",
+)
+# The same fields, with numbers in any form.
+_ANY_NUMBER_DDL = PROFILE_DDL.replace("BIGINT", "DOUBLE").replace("state: INT", "state: DOUBLE")
+
 _NODE_KEYS = ("endpoint", "maxMemoryUsed", "timeEnqueuedBeforeSubmitMs")
 _ENDPOINT_KEYS = ("address", "fabricPort")
 
@@ -70,7 +84,7 @@ def parse_profiles(lines: DataFrame, *, strict: bool = False) -> DataFrame:
             )
         ),
     )
-    checked = _with_problem(parsed)
+    checked = _with_problem(_with_number_forms(parsed))
     if strict:
         where = F.concat_ws(" ", F.col("file_name"), F.lit("line"), F.col("attempt"), "problem")
         checked = checked.withColumn(
@@ -108,6 +122,47 @@ def quarantined(profiles: DataFrame) -> DataFrame:
     return profiles.where("problem IS NOT NULL").select("file_name", "attempt", "problem", "line")
 
 
+def _whole(value: str) -> str:
+    """A whole number however it is written (``1000.0``, ``1e3``); NULL for a fraction."""
+    return (
+        f"CASE WHEN abs({value}) < 9007199254740992 AND {value} = floor({value})"
+        f" THEN CAST({value} AS BIGINT) END"
+    )
+
+
+def _with_number_forms(parsed: DataFrame) -> DataFrame:
+    """Whole numbers that are not written as integers.
+
+    Only lines with an objection are read a second time.  What the first reading
+    understood stays as it is.
+    """
+
+    def known(field: str, again: str, kind: str = "BIGINT") -> str:
+        return f"coalesce({field}, CAST({_whole(again)} AS {kind}))"
+
+    states = f"""transform(again.stateList, (a, i) -> CASE WHEN a IS NOT NULL THEN named_struct(
+        'state', {known("get(stateList, i).state", "a.state", "INT")},
+        'startTime', {known("get(stateList, i).startTime", "a.startTime")}) END)"""
+    nodes = f"""transform(again.nodeProfile, (a, i) -> CASE WHEN a IS NOT NULL THEN named_struct(
+        'endpoint', CASE WHEN a.endpoint IS NOT NULL THEN named_struct(
+            'address', a.endpoint.address,
+            'fabricPort', {known("get(nodeProfile, i).endpoint.fabricPort", "a.endpoint.fabricPort")}) END,
+        'maxMemoryUsed', {known("get(nodeProfile, i).maxMemoryUsed", "a.maxMemoryUsed")},
+        'timeEnqueuedBeforeSubmitMs',
+        {known("get(nodeProfile, i).timeEnqueuedBeforeSubmitMs", "a.timeEnqueuedBeforeSubmitMs")}) END)"""
+    again = F.when(F.col(OBJECTION).isNotNull(), F.from_json("line", _ANY_NUMBER_DDL, JSON_OPTIONS))
+    read = _fenced(parsed.withColumn("again", again))
+    changed = {c: F.expr(known(_q(c), f"again.{_q(c)}")) for c in _NUMBERS}
+    for c, value in (("stateList", states), ("nodeProfile", nodes)):
+        changed[c] = F.expr(f"CASE WHEN again IS NULL THEN {c} ELSE coalesce({value}, {c}) END")
+    return _fenced(read.withColumns(changed).drop("again"))
+
+
+def _fenced(df: DataFrame) -> DataFrame:
+    """The same rows; Catalyst does not copy their expressions into what follows."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(_q(c)) for c in df.columns)))))
+
+
 def _with_problem(parsed: DataFrame) -> DataFrame:
     signs = [f"{_q(c)} IS NULL" for c in (*NEEDED, *NEEDED_OR_NULL)]
     signs += [f"{OBJECTION} IS NOT NULL", _STATES_BAD, _NODES_HAVE_NULL]
@@ -196,6 +251,11 @@ def _with_scheduling(checked: DataFrame) -> DataFrame:
                 f"CASE WHEN {block_null} THEN json_object_keys(resourceSchedulingProfile) END"
             ),
             "s": F.from_json(properties, SCHEDULING_PROPERTIES_DDL, JSON_OPTIONS),
+            "w": F.from_json(
+                F.expr("CASE WHEN g.resourceSchedulingStart IS NULL OR g.resourceSchedulingEnd IS NULL THEN resourceSchedulingProfile END"),
+                "resourceSchedulingStart DOUBLE, resourceSchedulingEnd DOUBLE",
+                JSON_OPTIONS,
+            ),
         }
     )
     present = [
@@ -210,8 +270,7 @@ def _with_scheduling(checked: DataFrame) -> DataFrame:
         "complete", F.expr(" AND ".join(["cost IS NOT NULL", *present]))
     )
     values = (
-        "g.resourceSchedulingStart",
-        "g.resourceSchedulingEnd",
+        *(f"coalesce(g.{k}, {_whole(f'w.{k}')})" for k in _GROUP_KEYS[:2]),
         "g.queueName",
         "g.ruleName",
         "cost",

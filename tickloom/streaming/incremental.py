@@ -26,6 +26,8 @@ def ingest_available(
     **options,
 ) -> StreamingQuery:
     """Ingest every new file below ``input_dir``, then stop; options as in `ingest_lines`."""
+    if options.get("replace"):
+        raise ValueError("a stream cannot replace: each batch would erase the one before")
     stream_options = {}
     if max_files_per_trigger is not None:
         stream_options["maxFilesPerTrigger"] = str(max_files_per_trigger)

@@ -126,7 +126,8 @@ def train(labelled: DataFrame) -> Judge:
     sample = _lexical(_urls(known, "label")).where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share)
     rate, count = (F.sum("label") + 1) / (F.count("*") + 2), F.log1p(F.count("*"))
     suffixes = staged(sample.groupBy("suffix").agg(rate.alias("suffix_rate"), count.alias("suffix_count")), "suffixes")
-    rows = _with_suffixes(sample, suffixes).select(*FEATURES, F.col("label").cast("double").alias("label"))
+    # Written once: the learner reads its rows many times, the pages only here.
+    rows = staged(_with_suffixes(sample, suffixes).select(*FEATURES, F.col("label").cast("double").alias("label")), "urls")
     if rows.agg(F.countDistinct("label")).first()[0] < 2:
         return Judge(None, None, ones / total)
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label").coalesce(4)

@@ -7,12 +7,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, main_text, mixing, pii, quality, topk, urls, warc
+from tickloom.llm import components as component_steps
 from tickloom.llm.components import components
 from tickloom.llm.fm_index import FMIndex
 from tickloom.llm.queries import RULES
@@ -122,6 +124,28 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components(spark.createDataFrame([(None, 1), (2, None)], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_forests_keep_what_edges_connect(monkeypatch, held):
+    monkeypatch.setattr(component_steps, "HELD_EDGES", held)
+    rng = np.random.default_rng(held)
+    edges = [(bytes([a]), bytes([b])) for a, b in np.sort(rng.integers(0, 120, (90, 2)), axis=1).tolist() if a < b]
+    batches = [pa.record_batch([pa.array(c, pa.binary()) for c in zip(*edges[i : i + 5], strict=True)], ["a", "b"]) for i in range(0, len(edges), 5)]
+    found = [(r["a"], r["b"]) for batch in component_steps._forests(iter(batches)) for r in batch.to_pylist()]
+
+    def groups(pairs):
+        root = {x: {x} for e in edges for x in e}
+        for a, b in pairs:
+            both = root[a] | root[b]
+            root |= dict.fromkeys(both, both)
+        return {frozenset(x) for x in root.values()}
+
+    assert groups(found) == groups(edges)
+    assert all(a < b for a, b in found)
+    if held > len(edges):
+        assert all(len({a for a, b in found if b == x}) == 1 for x in {b for _, b in found})
 
 
 # --- WARC ------------------------------------------------------------------------------

@@ -226,22 +226,20 @@ def _tile_pairs(percent: int):
     return run
 
 
-def _open_pairs(nodes: DataFrame, stars: DataFrame, links: DataFrame, percent: int) -> DataFrame | None:
+def _lifted(edges: DataFrame, linked: DataFrame) -> DataFrame:
+    """Edges between the roots of their ends, where these differ."""
+    for end in ("a", "b"):
+        roots = linked.select(F.col("node").alias(end), F.col("root").alias("up"))
+        edges = edges.join(roots, end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+    return edges.where("a <> b")
+
+
+def _open_pairs(nodes: DataFrame, stars: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Pairs that stars left open: candidates of one cluster, in different components."""
-    linked, cluster = components(links), components(stars)
-    state = staged(
-        cluster.withColumnRenamed("root", "cluster")
-        .join(linked, "node", "left")
-        .select("node", "cluster", F.coalesce("root", "node").alias("root")),
-        "clusters",
-    )
-    split = (
-        state.groupBy("cluster")
-        .agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
-        .where("least <> most")
-    )
-    members = join_hot(state, split.select("cluster", "n"), "cluster", "node", "inner")
-    members = members.join(nodes.select("node", "n_shingles", "bits"), "node")
+    clusters = components(_lifted(stars, linked)).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = staged(join_hot(rooted, clusters, "root", "node", "inner"), "clusters")
+    members = join_hot(members, members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster", "node", "inner")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     members = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
@@ -280,11 +278,13 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     links = staged(_confirm(docs, classes, stars, k, percent), "links")
     one = full.select("node", "n_shingles", "bits").join(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "node", "left_semi").dropDuplicates(["node"])
-    pending = staged(_open_pairs(one, stars, links, percent), "open")
-    links = links.unionByName(_confirm(docs, classes, pending, k, percent))
-    roots = staged(components(links), "roots")
+    linked = staged(components(links), "linked")
+    pending = staged(_open_pairs(one, stars, linked, percent), "open")
+    merged = components(_lifted(_confirm(docs, classes, pending, k, percent), linked))
+    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = classes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), "n")
     named = staged(
-        classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), "n"), "named"
+        join_hot(rooted, merged, "root", "node").select("node", "doc_id", F.coalesce("top", "root").alias("root"), "n"), "named"
     )
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
     label = join_hot(named, least, "root", "node", "inner").where("n > 1 or m > 1").select("node", "component_id", F.lit(True).alias("grouped"))

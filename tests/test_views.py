@@ -196,7 +196,9 @@ def test_views_from_sql(spark, tables, tick_ms):
     assert got == views.tick_node_agg(tables).agg(F.max("nodeCount")).first()[0]
 
 
-def test_plans(tables):
+def test_plans(tables, monkeypatch):
+    # So few ticks would make one task, and that needs no exchanges.
+    monkeypatch.setattr(ticks_module, "TICKS_PER_SMALL_TASK", 100)
     stored = plan(views.tick_node_agg(tables))
     assert "EqualTo(queryState,8)" in stored
     assert "queryTextFirstChunk" not in stored
@@ -211,6 +213,36 @@ def test_plans(tables):
     assert "queryTextFirstChunk" not in plan(late_views.state_tick_agg(tables, TICK))
 
 
+def test_ticks_are_scanned_once(tables, conf):
+    """Without broadcasts, as at scale: few exchanges."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plain = [("ticks_nodes", {}), ("tick_node_agg_1", {}), ("tick_node_agg", {})]
+    eager = [(name, {"eager": True}) for name, _ in plain[1:]]
+    for name, options in plain + eager:
+        found = getattr(views, name)(tables, **options)
+        text = plan(found)
+        assert text.count("/ticks]") == 1, name
+        # One more where the attempts of a query id are counted first.
+        assert count_in_plan(found, "Exchange ") <= (9 if options and name == "tick_node_agg" else 8), name
+
+
+def test_missing_query_ids_form_one_group(spark, tables):
+    nameless = tables | {"queries": tables["queries"].withColumn("queryId", F.expr("nullif(queryId, 'q03')"))}
+    for name in ("tick_node_agg_1", "tick_node_agg"):
+        want = rows(getattr(views, name)(nameless))
+        assert rows(getattr(views, name)(nameless, eager=True)) == want
+        assert rows(getattr(late_views, name)(nameless, TICK)) == want
+
+
+def test_ticks_wider_than_a_block(spark, tmp_path, monkeypatch):
+    """Blocks are found whatever the tick width, and when a phase ends in the tick it starts in."""
+    monkeypatch.setattr(views, "BLOCK_MS", 30)
+    entries = [(f"q{i}", 0, profile([(1, 900 + i), (8, 1000 + 7 * i), (9, 990 + 31 * i)], [node(f"n{i % 3}")])) for i in range(40)]
+    t = build(spark, str(tmp_path / "t"), entries)
+    for name in NAMES:
+        assert rows(getattr(views, name)(t)) == rows(getattr(late_views, name)(t, TICK))
+
+
 def test_skewed_ticks_are_split_in_the_header_join(spark, tmp_path, conf):
     """One query holds most of the stored ticks: its join partition is split at run time."""
     long = profile([(1, 1_000), (8, 2_000), (9, 4_000_000)])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from checks.derived_profiles import CHUNK_SIZE, NODES, PROFILES, TICK_MS
 
+# The state names.
 _STATES = """
   SELECT CAST(id AS BIGINT) AS id, stateName FROM (VALUES (0,'INVALID_STATE'),(1,'PENDING'),(2,'METADATA_RETRIEVAL'),(3,'PLANNING'),
     (4,'QUEUED'),(5,'ENGINE_START'),(6,'EXECUTION_PLANNING'),(7,'STARTING'),(8,'RUNNING'),
@@ -118,11 +119,12 @@ SELECT state AS queryState, count(*) AS tickMs, count(*) AS qNum, count(*) AS st
 FROM ticks GROUP BY 1
 """
 _TABLE_ROWS = """
-SELECT 'queries' AS tableName, count(*) AS n FROM queries
-UNION ALL SELECT 'query_text', CAST(sum(nrQueryChunks) AS BIGINT) FROM queries
-UNION ALL SELECT 'nodes', count(*) FROM nodes
-UNION ALL SELECT 'ticks', count(*) FROM ticks
+SELECT 'queries' AS tableName, count(*) AS n, CAST(sum(queryStartMs % 3600000 + totalFragments) AS BIGINT) AS content FROM queries
+UNION ALL SELECT 'query_text', count(*), CAST(sum(length(chunkText) * (chunkNum + 1)) AS BIGINT) FROM (""" + _CHUNKS + """) t
+UNION ALL SELECT 'nodes', count(*), CAST(sum(maxMemoryUsed + endpointFabricPort) AS BIGINT) FROM nodes
+UNION ALL SELECT 'ticks', count(*), CAST(sum(tickMs % 3600000 + durationMs * state) AS BIGINT) FROM ticks
 """
+_NUMBERS = "SELECT CAST(1 AS BIGINT) AS firstNumber, count(*) AS lastNumber, count(*) AS numbers FROM prof"
 
 _ANSWERS = {
     # sources and sinks
@@ -138,6 +140,7 @@ _ANSWERS = {
     "query_id_from_file": "SELECT queryId, count(*) AS n FROM prof GROUP BY 1",
     "write_tables": _TABLE_ROWS,
     "replace_tables": _TABLE_ROWS,
+    "replace_then_append": _TABLE_ROWS,
     "rerun_tables": _TABLE_ROWS,
     "skip_existing": _TABLE_ROWS,
     "ingest_range": "SELECT min(startMs) AS firstStartMs, max(startMs) AS lastStartMs FROM prof",
@@ -172,7 +175,8 @@ _ANSWERS = {
         FROM phases JOIN prof USING (k)""",
     "ticks_table": """SELECT queryId, attempt, tickMs, state AS queryState, durationMs AS stateDurationMs
         FROM ticks JOIN prof USING (k)""",
-    "query_numbers": "SELECT CAST(1 AS BIGINT) AS firstNumber, count(*) AS lastNumber, count(*) AS numbers FROM prof",
+    "query_numbers": _NUMBERS,
+    "ingest_numbers": _NUMBERS,
     "attempts": "SELECT queryId, count(*) AS attempts, max(attempt) AS lastAttempt FROM prof GROUP BY 1",
     # joins and aggregations
     "left_join_missing_state": """SELECT tickMs, state AS code, CASE WHEN state <> 6 THEN code || ' (' || stateName || ')' END AS queryState,

@@ -108,10 +108,22 @@ def query_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_lines(spark, sf_dir).groupBy(query_id).agg(F.count("*").alias("n"))
 
 
+#: What is added up to compare the content of a stored table.
+_CONTENT = {
+    "queries": "queryStartMs % 3600000 + totalFragments",
+    "query_text": "cast(length(chunkText) AS bigint) * (chunkNum + 1)",
+    "nodes": "maxMemoryUsed + endpointFabricPort",
+    "ticks": "tickMs % 3600000 + stateDurationMs * queryState",
+}
+
+
 def _table_rows(frames: dict[str, DataFrame]) -> DataFrame:
     counts = [
-        frames[t].select(F.lit(t).alias("tableName")).groupBy("tableName").agg(F.count("*").alias("n"))
-        for t in ("queries", "query_text", "nodes", "ticks")
+        frames[t]
+        .selectExpr(f"'{t}' AS tableName", f"{content} AS content")
+        .groupBy("tableName")
+        .agg(F.count("*").alias("n"), F.sum("content").alias("content"))
+        for t, content in _CONTENT.items()
     ]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
@@ -126,6 +138,16 @@ def replace_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_rows(read_tables(spark, out))
 
 
+def replace_then_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First attempts by ``replace``, the others by a plain run: both stay visible."""
+    out = sinks.new_staging_dir(spark)
+    lines = profile_lines(spark, sf_dir)
+    settings = {"tick_ms": TICK_MS, "chunk_size": CHUNK_SIZE}
+    ingest_lines(lines.where("attempt = 0"), out, replace=True, **settings)
+    ingest_lines(lines.where("attempt > 0"), out, **settings)
+    return _table_rows(read_tables(spark, out))
+
+
 def rerun_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batch twice: the second run replaces the first."""
     out = sinks.new_staging_dir(spark)
@@ -307,6 +329,15 @@ def query_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that the job has stored."""
+    return _queries(spark, sf_dir).agg(
+        F.min("qNum").alias("firstNumber"),
+        F.max("qNum").alias("lastNumber"),
+        F.count_distinct("qNum").alias("numbers"),
+    )
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _queries(spark, sf_dir)
@@ -365,6 +396,7 @@ def queries() -> dict[str, Query]:
         "query_id_from_file": query_ids,
         "write_tables": write_tables,
         "replace_tables": replace_tables,
+        "replace_then_append": replace_then_append,
         "rerun_tables": rerun_tables,
         "skip_existing": skip_existing,
         "ingest_range": ingest_range,
@@ -392,6 +424,7 @@ def queries() -> dict[str, Query]:
         "phase_durations": phase_durations,
         "ticks_table": ticks_table,
         "query_numbers": query_numbers,
+        "ingest_numbers": ingest_numbers,
         "attempts": attempts,
         "left_join_missing_state": left_join_missing_state,
         "ticks_per_state": per_state,

@@ -1,0 +1,174 @@
+"""Fingerprints of texts and their neighbours against plain Python."""
+
+import base64
+import hashlib
+import math
+import os
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tickloom.llm import fingerprints as prints
+from tickloom.llm import neighbours, queries
+from tickloom.llm import words as W
+
+
+def entropy_class(window):
+    worth = sum(round(c * math.log2(c) * 65536) for c in Counter(window).values())
+    return max(0, prints._GREATEST - worth) >> 13
+
+
+def corpus(seed, n=60):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(1, 9)))
+    return [" ".join(word() for _ in range(rng.choice([0, 1, 3, 10, 30, 300, 1000]))) for _ in range(n)]
+
+
+def brute_features(text, rank):
+    """Places of the chosen windows, first place of each content."""
+    data, size = text.encode(), prints.WINDOW
+    key = [rank[entropy_class(data[i : i + size])] for i in range(len(data) - size + 1)]
+    votes = Counter()
+    for i, k in enumerate(key):
+        # Stretches start at each window, and end with the text.
+        open_ = [(key[j], j) for j in range(i, min(i + size, len(key))) if key[j] >= 0]
+        if open_:
+            votes[min(open_)[1]] += 1
+    seen = {}
+    for i in sorted(i for i, v in votes.items() if v >= prints.VOTES):
+        seen.setdefault(data[i : i + size], i)
+    return list(seen.values())
+
+
+@pytest.fixture(scope="module")
+def rank():
+    counts = np.zeros(prints.CLASSES, np.int64)
+    for t in corpus(9):
+        np.add.at(counts, prints.entropy_classes(np.frombuffer(t.encode(), np.uint8)), 1)
+    return prints.ranks(counts)
+
+
+def test_entropy_classes():
+    data = bytes(random.Random(1).choices(range(256), k=50)) + b"a" * 50 + b"ab" * 40 + bytes(range(64))
+    want = [entropy_class(data[i : i + prints.WINDOW]) for i in range(len(data) - prints.WINDOW + 1)]
+    assert prints.entropy_classes(np.frombuffer(data, np.uint8)).tolist() == want
+
+
+def test_features(rank):
+    for text in corpus(1, 25):
+        found = prints.fingerprints(pa.array([text]), rank)[0]
+        if len(text.encode()) < prints.SHORT:
+            continue
+        table = np.frombuffer(found, np.uint8).reshape(-1, 1 + prints.BYTES)
+        want = brute_features(text, rank)
+        assert table[:, 0].sum() == len(want) and (table[:-1, 0] == prints.FULL).all()
+        data = np.frombuffer(text.encode(), np.uint8)
+        for i, at in enumerate(want):
+            for bit in (int(prints._hashes(data, np.array([at]), prints.WINDOW)[0]) >> 11 * j & 2047 for j in range(prints.HASHES)):
+                assert table[i // prints.FULL, 1 + bit // 8] >> bit % 8 & 1
+
+
+def test_pieces_and_batches_make_no_difference(rank, monkeypatch):
+    texts = [*corpus(2), None, "", "x", "x" * 100, "x" * 5000, corpus(3)[5] * 40]
+    whole = prints.fingerprints(pa.array(texts), rank)
+    assert [prints.fingerprints(pa.array([t]), rank)[0] for t in texts] == whole
+    assert whole[-6:-4] == [b"", b""] and all(whole[-4:])
+    for piece in (1000, 100):
+        monkeypatch.setattr(prints, "_PIECE", piece)
+        monkeypatch.setattr(W, "PIECE", piece)
+        assert prints.fingerprints(pa.array(texts), rank) == whole
+
+
+def test_likeness(rank):
+    texts = [t for t in corpus(4, 200) if len(t) > 20]
+    found = prints.fingerprints(pa.array(texts), rank)
+    cut = prints.fingerprints(pa.array([neighbours.edited(t, u, 4) for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]), rank)
+    assert all(prints.likeness(f, f) == 1.0 for f in found)
+    near = [prints.likeness(f, c) for f, c in zip(found, cut, strict=True)]
+    far = [prints.likeness(f, g) for f, g in zip(found, found[1:] + found[:1], strict=True)]
+    assert 0.65 < np.median(near) < 0.9 and np.quantile(near, 0.05) > 0.3 and max(far) < 0.2
+    assert all(0 <= x <= 1 for x in near + far)
+    for a, b in zip(found, cut, strict=True):
+        assert prints.likeness(a, b) == prints.likeness(b, a)
+    assert prints.likeness(b"", b"") == 1.0 and prints.likeness(b"", found[0]) == prints.likeness(found[0], b"") == 0.0
+
+
+def test_long_chains(rank):
+    rng = random.Random(5)
+    text = " ".join(str(rng.random()) for _ in range(30_000))
+    other = " ".join(str(rng.random()) for _ in range(30_000))
+    half = text[: len(text) // 2] + other[len(text) // 2 :]
+    a, b, c = prints.fingerprints(pa.array([text, half, other]), rank)
+    assert len(a) > 100 * 257
+    assert 0.45 < prints.likeness(a, b) < 0.55 and prints.likeness(a, c) < 0.05
+
+
+SCHEMA = "doc_id long, text string, hash string, bucket int, copy boolean"
+
+
+def frame(spark, rows):
+    """Extra columns that clash with the operator's own."""
+    return spark.createDataFrame([(i, t, "x", 1, True) for i, t in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 25, 2000, 200])
+def test_beside_next(spark, monkeypatch, rank, bucket_bytes):
+    monkeypatch.setattr(neighbours, "BUCKET_BYTES", bucket_bytes)
+    texts = [*corpus(6), None, "", "long " * 40_000]
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    got = {r.row.doc_id: r for r in neighbours.beside_next(frame(spark, rows).repartition(5), ["doc_id", "hash"], 4, rank).collect()}
+    assert len(got) == len(rows)
+    texts = [t or "" for t in texts]
+    whole = prints.fingerprints(pa.array(texts), rank)
+    for i, (t, u) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True)):
+        r, new = got[3 * i], neighbours.edited(t, u, 4)
+        assert (r.n_chars, r.edited, bytes(r.fingerprint)) == (len(t), new, whole[i])
+        assert bytes(r.edited_fingerprint) == prints.fingerprints(pa.array([new]), rank)[0]
+        assert r.near_edited == prints.likeness(whole[i], bytes(r.edited_fingerprint))
+        assert r.near_next == prints.likeness(whole[i], whole[(i + 1) % len(whole)])
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 25, 300])
+def test_missing_repeated_and_single_ids(spark, monkeypatch, rank, bucket_bytes):
+    monkeypatch.setattr(neighbours, "BUCKET_BYTES", bucket_bytes)
+    texts = corpus(7)
+    rows = [(None, t) for t in texts] + [(5, texts[4])] * 6 + [(5, texts[5]), (2**63 - 1, "end"), (-(2**63), "begin of all")]
+    got = neighbours.beside_next(frame(spark, rows), ["doc_id"], 2, rank).collect()
+    assert sorted(((r.row.doc_id or 0), r.n_chars) for r in got) == sorted((i or 0, len(t)) for i, t in rows)
+    # The first follows the last, and an id the one before it.
+    by_id = {r.row.doc_id: r for r in got}
+    assert by_id[-(2**63)].edited in {"begin " + t[:6] for t in texts[4:6]}
+    # Of the repeated rows all but one are followed by themselves.
+    assert sum(r.near_next == 1.0 for r in got if r.row.doc_id == 5) >= 5
+    single = neighbours.beside_next(frame(spark, [(1, "abcdefgh")]), ["doc_id"], 4, rank).collect()
+    assert [(r.edited, r.near_next) for r in single] == [("abcdefab", 1.0)]
+
+
+def test_empty_and_plain(spark):
+    assert neighbours.beside_next(frame(spark, []), ["doc_id"]).collect() == []
+    assert prints.fingerprinted(frame(spark, []), ["doc_id"]).collect() == []
+    rows = [(i, t) for i, t in enumerate(corpus(8))]
+    docs = frame(spark, rows)
+    rank = prints.rarity(docs)
+    got = {r.row.doc_id: bytes(r.fingerprint) for r in prints.fingerprinted(docs.repartition(7), ["doc_id"]).collect()}
+    assert [got[i] for i, _ in rows] == prints.fingerprints(pa.array([t for _, t in rows]), rank)
+
+
+def test_query(spark):
+    """The registered query over the smallest tables."""
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    rank = prints.rarity(docs)
+    got = {r.doc_id: r for r in queries.op13_fingerprint(spark, sf_dir).collect()}
+    assert sorted(got) == ids
+    for i, j in zip(ids, ids[1:] + ids[:1], strict=True):
+        new = neighbours.edited(texts[i], texts[j], 4)
+        a, b, c = prints.fingerprints(pa.array([texts[i], new, texts[j]]), rank)
+        assert got[i].n_chars == len(texts[i]) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (base64.b64encode(a).decode(), base64.b64encode(b).decode())
+        assert (got[i].near_edited, got[i].near_next) == (prints.likeness(a, b), prints.likeness(a, c))

@@ -112,6 +112,76 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: CRC-32 of each byte, and of a string by the bytes of its hexadecimal form.
+CRC_TABLE = """
+SELECT list_transform(range(0, 256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+"""
+
+
+def _crc(string: str) -> str:
+    hex_bytes = f"list_transform(range(1, 2 * octet_length(encode({string})), 2), lambda i: ('0x' || substr(hex(encode({string})), i, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {hex_bytes}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+RESAMPLE = f"""
+WITH crc AS ({CRC_TABLE}),
+d AS (SELECT doc_id, {_words(ALNUM, True)} AS w FROM documents),
+b AS (SELECT {_words(ALNUM, True)} AS w FROM benchmark),
+f AS (
+    SELECT doc_id, feature, count(*) AS c FROM (
+        SELECT doc_id, unnest(w) AS feature FROM d
+        UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+    ) GROUP BY ALL
+), g AS (
+    SELECT feature, count(*) AS c FROM (
+        SELECT unnest(w) AS feature FROM b
+        UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b
+    ) GROUP BY ALL
+), known AS (SELECT feature, {_crc("feature")} % 10000 AS bucket FROM (SELECT feature FROM f UNION SELECT feature FROM g), crc),
+s AS (SELECT bucket, sum(c) AS n FROM f JOIN known USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, sum(c) AS n FROM g JOIN known USING (feature) GROUP BY bucket),
+gains AS (
+    SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((SELECT sum(n) FROM s) + 10000)::double
+        / ((s.n + 1)::double * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::double)))::bigint AS gain
+    FROM s LEFT JOIN t USING (bucket)
+), weighed AS (
+    SELECT doc_id, sum(c)::bigint AS n_features, floor(sum(c * gain)::double / sum(c))::bigint AS weight
+    FROM f JOIN known USING (feature) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        ('0x' || substr(sha256('7:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint AS h
+    FROM d LEFT JOIN weighed USING (doc_id)
+), noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM noisy WHERE n_words >= 20)
+SELECT noisy.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM noisy LEFT JOIN ranked USING (doc_id)
+"""
+
+COLLAPSE_RUNS = f"""
+WITH crc AS ({CRC_TABLE}),
+given AS (SELECT doc_id, {_words(SPACED, False)} AS w, {_crc("doc_id::varchar")} AS h FROM documents, crc),
+planned AS (
+    SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a, 3 + h // 10 % 8 AS parts FROM given
+), d AS (
+    SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+        list_transform(range(0, n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END) + 1]) END AS w
+    FROM planned
+), places AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+same AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM places x JOIN places y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i - x.i BETWEEN 1 AND x.n // 3),
+stretches AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS stretch FROM same),
+periodic AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM stretches GROUP BY doc_id, p, stretch HAVING count(*) + p >= greatest(24, 3 * p)),
+runs AS (SELECT doc_id, start, length, min(p) AS period FROM periodic GROUP BY ALL),
+best AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+        first({{'start': start, 'length': length, 'period': period}} ORDER BY length::double / period DESC, start, period) AS b
+    FROM runs GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -121,4 +191,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": WARC,
         "op7_repeats": REPEATS,
         "op9_top_k": TOP_K,
+        "op11_resample": RESAMPLE,
+        "op12_collapse_runs": COLLAPSE_RUNS,
     }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, main_text, mixing, near_copies, pii, quality, substrings, topk, urls, warc
+from tickloom.llm import (
+    decontamination,
+    main_text,
+    mixing,
+    near_copies,
+    neighbours,
+    periodicity,
+    pii,
+    quality,
+    resampling,
+    substrings,
+    topk,
+    urls,
+    warc,
+)
 
 #: Fixed by the contract.
 THRESHOLD = 0.3
@@ -17,6 +31,7 @@ RULES = [
     urls.Rule("example.com/de/", "block"),
     urls.Rule("org/fr/", "allow"),
 ]
+WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a host that label a URL as one to block; the tables hold no labels for URLs.
 BAD_HOST_WORDS = ("ads", "bets", "casino", "pills", "spam")
 
@@ -87,6 +102,52 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranked = resampling.resampled(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return ranked.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in about a tenth of the texts the words repeat from some word on."""
+    h, words = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    repeated = F.expr(
+        "transform(w, (x, i) -> if(i < a, x, w[CAST(a + (i - a) % (1 + (size(w) - a) div (3 + g % 8)) AS INT)]))"
+    )
+    # The start is a column of its own, worked out once; without words there is none.
+    started = split.withColumn("a", F.expr("CASE WHEN size(w) > 0 THEN g % size(w) END"))
+    return started.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicity.collapsed(with_planted_periods(table(spark, sf_dir, "documents")), ["doc_id"])
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = neighbours.beside_next(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return compared.select(
+        "row.doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.base64("fingerprint").alias("fingerprint"),
+        F.base64("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix,
@@ -99,5 +160,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_main_text,
         op9_top_k,
         op10_quality,
+        op11_resample,
+        op12_collapse_runs,
+        op13_fingerprint,
     )
     return {f.__name__: f for f in found}

@@ -62,7 +62,7 @@ class WordClass:
         edge = np.diff(flags)
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
-    def _cuts(self, data: np.ndarray) -> list[int]:
+    def cuts(self, data: np.ndarray) -> list[int]:
         """Ends of pieces: each lies between two words, about ``PIECE`` apart."""
         cuts, at = [], 0
         while len(data) - at > PIECE:
@@ -80,7 +80,7 @@ class WordClass:
     def hashes(self, data: np.ndarray, with_spans: bool = False):
         """A hash for each word of ``data``; with ``with_spans`` its byte span too."""
         found, begin = [], 0
-        for end in self._cuts(data):
+        for end in self.cuts(data):
             piece = data[begin:end]
             a, b = self.spans(piece)
             up, down = _Powers.get(len(piece) + 1)

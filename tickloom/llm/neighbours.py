@@ -129,7 +129,8 @@ def beside_next(docs: DataFrame, carry: list[str], part: int = 4, rank: np.ndarr
     # The copy of a bucket's first row stands behind the rows of the bucket before.
     places = F.when(first, F.array(own, before)).otherwise(F.array(own))
     dealt = placed.select("row", *ORDER, "text", F.posexplode(places).alias("copy", "bucket"))
-    ordered = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "copy", *ORDER, "text")
+    # One partition for each bucket; a hash of the bucket would put several into one.
+    ordered = dealt.repartitionById(len(bounds), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "copy", *ORDER, "text")
     kind = rows.schema["row"].dataType.simpleString()
     return ordered.select("row", "bucket", (F.col("copy") == 1).alias("copy"), "text").mapInArrow(
         _compared(rank, part),

@@ -136,13 +136,15 @@ def op12_collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Spark breaks lines in base64.
+    text = lambda c: F.replace(F.base64(c), F.lit("\r\n"), F.lit("")).alias(c)
     compared = neighbours.beside_next(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return compared.select(
         "row.doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.base64("fingerprint").alias("fingerprint"),
-        F.base64("edited_fingerprint").alias("edited_fingerprint"),
+        text("fingerprint"),
+        text("edited_fingerprint"),
         "near_edited",
         "near_next",
     )

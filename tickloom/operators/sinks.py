@@ -51,29 +51,23 @@ def range_name(*parts: int | str | None) -> str:
     return "_".join(str(p) for p in parts if p is not None)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     fs.delete(where, True)
 
 
-def remove_others(spark: SparkSession, path: str, keep: str, ending: str = "") -> None:
-    """Remove what lies directly below ``path`` but ``keep``: all of it, or what ends like it."""
-    where, fs = _file_system(spark, path)
-    if fs.exists(where):
-        for child in fs.listStatus(where):
-            name = child.getPath().getName()
-            if name != keep and name.endswith(ending):
-                fs.delete(child.getPath(), True)
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below ``path``; none if there is no such folder."""
+    where, fs = file_system(spark, path)
+    return sorted(c.getPath().getName() for c in fs.listStatus(where)) if fs.exists(where) else []
 
 
-def write_table(
-    df: DataFrame, output_dir: str, name: str, ingest_range: str | None, mode: str = "overwrite"
-) -> str:
+def write_table(df: DataFrame, output_dir: str, name: str, ingest_range: str | None, options: dict[str, str] | None = None) -> str:
     """Write one table, or only its partition ``ingest_range``.
 
     The partition is written by its path, so an overwrite replaces that partition
@@ -82,5 +76,5 @@ def write_table(
     path = f"{output_dir}/{name}"
     if ingest_range is not None:
         path += f"/ingest_range={ingest_range}"
-    df.write.mode(mode).parquet(path)
+    df.write.mode("overwrite").options(**(options or {})).parquet(path)
     return path

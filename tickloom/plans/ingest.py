@@ -3,26 +3,30 @@
 The parsed profiles are written once to the shared staging folder.  Numbering and
 all four tables then read only the columns they need from there, and none of them
 shuffles a profile; just the narrow phase rows are spread before they become ticks.
-An executor lost on the way costs the tasks it ran, not the parse.
+An executor lost on the way costs the tasks it ran, not the parse.  What a run has
+written becomes visible in one step, when its manifest is put in place.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace as changed
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.states import CODES
 from tickloom.model import DEFAULT_CHUNK_SIZE, DEFAULT_TICK_MS
+from tickloom.operators.manifest import QUARANTINE, Batch, open_manifest, publish, remove_unlisted
 from tickloom.operators.numbering import next_base, number_staged
+from tickloom.operators.overlap import known_places, without_places
 from tickloom.operators.sinks import (
     batch_digest,
     new_staging_dir,
     range_bounds,
     range_name,
     remove,
-    remove_others,
     write_table,
 )
 from tickloom.operators.tables import nodes_table, queries_table, text_chunks
@@ -31,14 +35,16 @@ from tickloom.operators.ticks import (
     profile_phases,
     task_count,
     tick_ranges,
-    ticks_per_state,
     ticks_table,
 )
 from tickloom.sources.profile_files import read_profile_lines
 from tickloom.sources.profile_json import parse_profiles, quarantined, usable
-from tickloom.sources.tables import existing_queries
+from tickloom.sources.tables import read_table
 
 QUARANTINE_DDL = "file_name STRING, attempt BIGINT, problem STRING, line STRING"
+PLACES_DDL = "fileName STRING, block BIGINT, bits BINARY"
+#: How the files of a table are laid out.
+WRITE_OPTIONS: dict[str, dict[str, str]] = {}
 
 
 @dataclass(frozen=True)
@@ -69,84 +75,109 @@ def ingest_lines(
     skip_existing: bool = False,
     tag: str | None = None,
     keep_staging: bool = False,
+    written: Callable[[str], None] | None = None,
 ) -> IngestReport:
     """Ingest ``(file_name, attempt, line)``.
 
-    By default the run becomes one partition per table, named after the first and
-    last query start of its usable profiles, a digest of its file names (and ``tag``);
-    the same files again replace their own partition, other files never do.
-    ``replace`` removes everything else that is stored.  ``skip_existing`` leaves out
-    profiles that are stored already and adds the rest, so overlapping inputs do
-    not repeat rows.  The staged profiles are removed at the end unless
-    ``keep_staging`` is set.
+    A run becomes one partition per table, named after the first and last query start of its
+    usable profiles, a digest of its file names, ``tag``, and the run.  Nothing of it is visible
+    before all of it is; a run that breaks off leaves the tables as they were.
+
+    A run replaces what files of the same names wrote before, if the time ranges of both
+    overlap: the same batch again, or corrected.  Files of the same names from another time are
+    another batch, and so are other files whatever their range.  ``replace`` replaces everything
+    that is stored.  ``skip_existing`` replaces nothing and leaves out profiles that are stored
+    already, so overlapping inputs do not repeat rows.
+
+    ``written`` is called with the name of each table once it is written.  The staged profiles
+    are removed at the end unless ``keep_staging`` is set.
     """
     if tick_ms < 1 or chunk_size < 1:
         raise ValueError("tick_ms and chunk_size must be at least 1")
     if replace and skip_existing:
         raise ValueError("replace and skip_existing exclude each other")
     spark = lines.sparkSession
-    stored = None if replace else existing_queries(spark, output_dir)
-    if base is None:
-        base = next_base(stored)
+    manifest = open_manifest(spark, output_dir)
 
     staged_dir, staged = _stage(parse_profiles(lines, strict=strict))
     finished = [staged_dir]
-    digest = batch_digest(staged)
-    if skip_existing and stored is not None:
-        staged_dir, staged = _stage(_new_only(staged, stored))
+    own = range_name(batch_digest(staged), tag)
+    if skip_existing and manifest.batches:
+        staged_dir, staged = _stage_new(staged_dir, staged, read_table(spark, output_dir, "queries", manifest))
         finished.append(staged_dir)
     facts = staged.agg(
         *range_bounds(F.col("problem").isNull()),
+        F.count("*").alias("rows"),
         F.count_if(F.col("problem").isNull()).alias("profiles"),
         F.count_if(F.col("problem").isNotNull()).alias("quarantined"),
     ).first()
+    first, last = facts["firstStartMs"], facts["lastStartMs"]
+
+    def goes(batch: Batch) -> bool:
+        return replace or (not skip_existing and batch.same_batch(own, first, last))
+
+    if base is None:
+        again = [b for b in manifest.batches if goes(b) and b.files == own and b.rows == facts["rows"]]
+        stored = None if replace or manifest.last_number is not None else read_table(spark, output_dir, "queries", manifest)
+        # The same batch keeps its numbers; others come after all that are in use.
+        base = again[0].base if len(again) == 1 else max(next_base(stored), 0 if replace else manifest.last_number or 0)
     ranges = tick_ranges(profile_phases(usable(staged), []), tick_ms)
     expected = _by_state(expected_ticks_per_state(ranges, tick_ms), "expectedTicks")
     tick_files = task_count(staged, sum(expected.values()))
 
     numbered = usable(number_staged(staged, f"{staged_dir}-offsets", base))
+    bad = quarantined(staged)
+    if skip_existing:
+        listed = [b for b in manifest.batches if b.files != own]
+        bad = _not_listed(bad, read_table(spark, output_dir, QUARANTINE, changed(manifest, batches=tuple(listed)), QUARANTINE_DDL))
     tables = {
+        QUARANTINE: bad,
         "query_text": text_chunks(numbered, chunk_size),
         "nodes": nodes_table(numbered),
         "ticks": ticks_table(numbered, tick_ms, tick_files),
-        # Last, because the views join to it: rows of a run that broke off are never seen.
         "queries": queries_table(numbered, chunk_size).sortWithinPartitions("queryStartMs"),
     }
-    own = range_name(digest, tag)
-    name = range_name(facts["firstStartMs"], facts["lastStartMs"], own)
-    mode = "append" if skip_existing else "overwrite"
-    bad = quarantined(staged)
-    if skip_existing:
-        bad = _not_listed(bad, output_dir, own)
-    # Always written, so that a corrected batch leaves no stale lines.
-    write_table(bad, output_dir, "quarantine", own)
-    paths = {t: write_table(df, output_dir, t, name, mode) for t, df in tables.items()}
-    for table in paths:
-        if not skip_existing:
-            remove_others(spark, f"{output_dir}/{table}", f"ingest_range={name}", "" if replace else f"_{own}")
-    if replace:
-        remove_others(spark, f"{output_dir}/quarantine", f"ingest_range={own}")
-
-    written = _by_state(ticks_per_state(spark.read.parquet(paths["ticks"])), "tickMs")
+    name = range_name(first, last, own, uuid.uuid4().hex[:12])
+    counts = {}
+    for table, df in tables.items():
+        counts[table] = _write_counted(df, output_dir, table, name)
+        if written is not None:
+            written(table)
+
+    ticks = counts["ticks"]
+    batch = Batch(name, own, first, last, facts["profiles"], base, facts["rows"], tick_ms, counts["nodes"].pop("rows"), {str(k): n for k, n in ticks.items() if k != "rows"})
+
+    def change(batches: tuple[Batch, ...]) -> tuple[Batch, ...]:
+        kept = (b for b in batches if not goes(b))
+        if skip_existing:
+            # The new list of bad lines holds what the same files listed before.
+            kept = (changed(b, tables=tuple(t for t in b.tables if t != QUARANTINE)) if b.files == own else b for b in kept)
+        return (*kept, batch)
+
+    before, after = publish(spark, output_dir, change)
+    live = {b.partition for b in after.batches}
+    remove_unlisted(spark, output_dir, own, {b.partition for b in before.batches} - live)
     if not keep_staging:
         for path in finished:
             remove(spark, path.removesuffix("/profiles"))
-    return IngestReport(
-        name, base, facts["profiles"], facts["quarantined"], staged_dir, expected, written
-    )
+    stored_ticks = {k: n for k, n in ticks.items() if k != "rows"}
+    return IngestReport(name, base, facts["profiles"], facts["quarantined"], staged_dir, expected, stored_ticks)
+
 
+def _write_counted(df: DataFrame, output_dir: str, table: str, name: str) -> dict:
+    """Write a partition and count its rows on the way; ticks by state as well."""
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if table == "ticks":
+        counts += [F.count_if(F.col("queryState") == code).alias(str(code)) for code in CODES]
+    seen = Observation(f"{table} {name}")
+    write_table(df.observe(seen, *counts), output_dir, table, name, WRITE_OPTIONS.get(table))
+    return {(int(k) if k.isdigit() else k): n for k, n in seen.get.items() if n or k == "rows"}
 
-def _not_listed(bad: DataFrame, output_dir: str, own: str) -> DataFrame:
+
+def _not_listed(bad: DataFrame, listed: DataFrame) -> DataFrame:
     """Bad lines that no other batch has listed."""
-    spark = bad.sparkSession
-    try:
-        listed = spark.read.schema(f"{QUARANTINE_DDL}, ingest_range STRING").parquet(f"{output_dir}/quarantine")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return bad
-        raise
-    others = listed.where(F.col("ingest_range") != own)
-    return bad.join(others.select("file_name", "attempt", "line"), ["file_name", "attempt", "line"], "left_anti")
+    line = ["file_name", "attempt", "line"]
+    return bad.join(listed.select(*line), line, "left_anti")
 
 
 def _by_state(counts: DataFrame, column: str) -> dict[int, int]:
@@ -163,15 +194,8 @@ def _stage(profiles: DataFrame) -> tuple[str, DataFrame]:
     return path, spark.read.schema(profiles.schema).parquet(path)
 
 
-def _new_only(staged: DataFrame, stored: DataFrame) -> DataFrame:
-    """The profiles that ``stored`` does not have.
-
-    A stored copy of a profile has the same start, so only the row groups of this
-    batch's time range are read from the stored table.
-    """
-    bounds = staged.agg(F.min("queryStartMs").alias("lo"), F.max("queryStartMs").alias("hi")).first()
-    identity = ["queryId", "attempt", "queryStartMs"]
-    known = stored.select(*identity)
-    if bounds["lo"] is not None:
-        known = known.where(F.col("queryStartMs").between(bounds["lo"], bounds["hi"]))
-    return staged.join(known, identity, "left_anti").select(*staged.columns)
+def _stage_new(staged_dir: str, staged: DataFrame, stored: DataFrame) -> tuple[str, DataFrame]:
+    """The staged profiles that ``stored`` does not have, staged again."""
+    path = f"{staged_dir}-known"
+    known_places(staged, stored).write.parquet(path)
+    return _stage(without_places(staged, staged.sparkSession.read.schema(PLACES_DDL).parquet(path)))

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.model import TABLE_DDL, TABLE_NAMES, state_names
+from tickloom.operators.manifest import Manifest, read_manifest
 
 
-def read_table(spark: SparkSession, output_dir: str, name: str) -> DataFrame:
-    """One stored table; the schema is known, so no file is opened to find it out."""
-    return spark.read.schema(TABLE_DDL[name]).parquet(f"{output_dir}/{name}").drop("ingest_range")
+class StoredTables(dict):
+    """The stored tables by name, and the manifest that they were found by."""
 
+    def __init__(self, frames: dict[str, DataFrame], manifest: Manifest):
+        super().__init__(frames)
+        self.manifest = manifest
 
-def read_tables(spark: SparkSession, output_dir: str) -> dict[str, DataFrame]:
-    """The four stored tables plus the ``state_names`` dimension."""
-    tables = {name: read_table(spark, output_dir, name) for name in TABLE_NAMES}
-    return tables | {"state_names": state_names(spark)}
 
+def read_table(spark: SparkSession, output_dir: str, name: str, manifest: Manifest | None = None, ddl: str | None = None) -> DataFrame:
+    """One stored table, as its manifest shows it.
 
-def existing_queries(spark: SparkSession, output_dir: str) -> DataFrame | None:
-    """``queries`` as stored so far, or None before the first run."""
-    try:
-        return read_table(spark, output_dir, "queries")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    The schema is known and the partitions are listed, so no file is opened to find them out.
+    """
+    manifest = read_manifest(spark, output_dir) if manifest is None else manifest
+    ddl = TABLE_DDL[name] if ddl is None else ddl
+    paths = [f"{output_dir}/{name}/ingest_range={p}" for p in manifest.partitions(name)]
+    return spark.read.schema(ddl).parquet(*paths) if paths else spark.createDataFrame([], ddl)
+
+
+def read_tables(spark: SparkSession, output_dir: str) -> StoredTables:
+    """The four stored tables, all of one version, plus the ``state_names`` dimension."""
+    manifest = read_manifest(spark, output_dir)
+    frames = {name: read_table(spark, output_dir, name, manifest) for name in TABLE_NAMES}
+    return StoredTables(frames | {"state_names": state_names(spark)}, manifest)

@@ -124,13 +124,18 @@ UNION ALL SELECT 'query_text', count(*), CAST(sum(length(chunkText) * (chunkNum
 UNION ALL SELECT 'nodes', count(*), CAST(sum(maxMemoryUsed + endpointFabricPort) AS BIGINT) FROM nodes
 UNION ALL SELECT 'ticks', count(*), CAST(sum(tickMs % 3600000 + durationMs * state) AS BIGINT) FROM ticks
 """
+_STORED = """
+SELECT queryId, attempt, userId, queryStartMs, finalState, nullif(length(query), 0) AS textLength,
+  (SELECT CAST(sum(maxMemoryUsed) AS BIGINT) FROM nodes n WHERE n.k = q.k) AS memory, t.ticks, t.tickSum
+FROM queries q LEFT JOIN (SELECT k, count(*) AS ticks, CAST(sum(tickMs % 3600000) AS BIGINT) AS tickSum FROM ticks GROUP BY k) t ON t.k = q.k
+"""
 _NUMBERS = "SELECT CAST(1 AS BIGINT) AS firstNumber, count(*) AS lastNumber, count(*) AS numbers FROM prof"
 
 _ANSWERS = {
     # sources and sinks
     "scan_profiles": """SELECT userId, queryStartMs, queryEndMs, length(query) AS textLength,
         (SELECT count(*) FROM nodes n WHERE n.k = q.k) AS nodes FROM queries q""",
-    "split_file_lines": "SELECT count(*) AS linesInFiles, count(*) AS positions FROM prof",
+    "split_file_lines": """SELECT 'profile_' || queryId || '.json' AS file_name, attempt, CAST(0 AS BIGINT) AS shift, startMs FROM prof""",
     "parse_profiles": """SELECT queryId, attempt, userId, queryStartMs, query AS queryText,
         (SELECT count(*) FROM marks m WHERE m.k = q.k) AS states,
         (SELECT count(*) FROM nodes n WHERE n.k = q.k) AS nodes FROM queries q""",
@@ -142,10 +147,27 @@ _ANSWERS = {
     "replace_tables": _TABLE_ROWS,
     "replace_then_append": _TABLE_ROWS,
     "rerun_tables": _TABLE_ROWS,
-    "skip_existing": _TABLE_ROWS,
+    "skip_existing": _STORED,
+    "broken_rerun": """SELECT 'broken off' AS run, * FROM (
+          SELECT 'queries' AS tableName, count(*) AS n, CAST(sum(queryStartMs % 3600000 + totalFragments) AS BIGINT) AS content FROM queries WHERE attempt = 0
+          UNION ALL SELECT 'query_text', count(*), CAST(sum(length(chunkText) * (chunkNum + 1)) AS BIGINT) FROM (""" + _CHUNKS + """) t WHERE attempt = 0
+          UNION ALL SELECT 'nodes', count(*), CAST(sum(maxMemoryUsed + endpointFabricPort) AS BIGINT) FROM nodes JOIN queries USING (k) WHERE attempt = 0
+          UNION ALL SELECT 'ticks', count(*), CAST(sum(tickMs % 3600000 + durationMs * state) AS BIGINT) FROM ticks JOIN queries USING (k) WHERE attempt = 0) b
+        UNION ALL SELECT 'done' AS run, * FROM (""" + _TABLE_ROWS + """) d""",
+    "same_name_other_content": """SELECT q.k, 'n' || CAST(q.k % 7 AS VARCHAR) AS queryId,
+          CASE WHEN queryStartMs < 1700001200000 THEN replace(userId, 'u', 'w') ELSE userId END AS userId, queryStartMs, t.ticks
+        FROM queries q LEFT JOIN (SELECT k, count(*) AS ticks FROM ticks GROUP BY k) t ON t.k = q.k
+        WHERE queryStartMs < 1700001200000 OR queryStartMs >= 1700002400000""",
     "ingest_range": "SELECT min(startMs) AS firstStartMs, max(startMs) AS lastStartMs FROM prof",
-    "ingest_stream": _PER_STATE,
-    "register_views": f"SELECT finalstate, count(*) AS n, CAST(sum(totalQueries) AS BIGINT) AS totalQueries FROM ({_V5}) v GROUP BY 1",
+    "ingest_stream": "SELECT userId, queryStartMs, finalState, textLength, memory, ticks, tickSum FROM (" + _STORED + ") s",
+    "sorted_headers": "SELECT CAST(0 AS BIGINT) AS outOfOrder, count(*) AS n FROM prof",
+    "ticks_of_an_hour": """SELECT tickMs, count(*) AS n, CAST(sum(durationMs) AS BIGINT) AS sumDuration FROM ticks
+        WHERE state = 3 AND tickMs // 3600000 = 1700000000000 // 3600000 GROUP BY tickMs""",
+    "register_views": f"""SELECT 'profileTicksNodes' AS viewName, count(*) AS n, CAST(sum(tickMs % 3600000 + stateDurationMs) AS BIGINT) AS content, sum(maxMemMb) AS numbers FROM v1
+        UNION ALL SELECT 'profileTickNodeAgg_1', count(*), CAST(sum(tickMs % 3600000 + queryCount * fragments) AS BIGINT), sum(memMb) FROM v2
+        UNION ALL SELECT 'profileTickNodeAgg', count(*), CAST(sum(tickMs % 3600000 + nodeCount * maxFragmentsPerNode) AS BIGINT), sum(maxMemMbPerNode) FROM ({_V3}) v3
+        UNION ALL SELECT 'profileStateTick', count(*), CAST(sum(tickMs % 3600000 + CAST(round(stateDurationSec * 1000) AS BIGINT)) AS BIGINT), CAST(sum(length(queryState)) AS DOUBLE) FROM ({_V4}) v4
+        UNION ALL SELECT 'profile_state_tick_agg', count(*), CAST(sum(tickMs % 3600000 + totalQueries * sumDuration) AS BIGINT), CAST(sum(maxDuration - minDuration) AS DOUBLE) FROM ({_V5}) v5""",
     "state_names": """SELECT id, s.stateName, count(q.k) AS profiles FROM state_names s
         LEFT JOIN queries q ON q.finalState = s.stateName GROUP BY 1, 2""",
     # projections, filters, scalar functions
@@ -197,6 +219,7 @@ _ANSWERS = {
     "late_view_tick_node_agg": _V3,
     "late_view_state_tick": _V4,
     "late_view_state_tick_agg": _V5,
+    "range_view_state_tick_agg": _V5,
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.derived_profiles import (
@@ -21,8 +21,8 @@ from tickloom.operators import numbering, sinks
 from tickloom.operators.tables import rebuild_text
 from tickloom.operators.ticks import header_phases, reconcile, ticks_per_state
 from tickloom.plans import late_views, views
-from tickloom.plans.catalog import register_views
 from tickloom.plans.ingest import ingest_lines
+from tickloom.plans.stored_views import load_views, save_views
 from tickloom.sources.profile_files import query_id_from_file, read_profile_lines
 from tickloom.sources.profile_json import parse_profiles, quarantined, usable
 from tickloom.sources.tables import read_tables
@@ -52,14 +52,19 @@ def _identified(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
 
 
 def _profile_files(spark: SparkSession, sf_dir: str) -> str:
-    """The derived lines as files; Spark names them, so ids come from elsewhere."""
+    """The derived lines as profile files; a file holds many lines, so ids come from elsewhere."""
     path = f"{sinks.new_staging_dir(spark)}/files"
     profile_lines(spark, sf_dir).select("line").write.text(path)
+    for name in sinks.children(spark, path):
+        if name.startswith("part-"):
+            where, fs = sinks.file_system(spark, f"{path}/{name}")
+            to, _ = sinks.file_system(spark, f"{path}/profile_{name.removesuffix('.txt')}.json")
+            fs.rename(where, to)
     return path
 
 
 def scan_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_profile_lines(spark, _profile_files(spark, sf_dir), pattern="*.txt")
+    lines = read_profile_lines(spark, _profile_files(spark, sf_dir))
     return usable(parse_profiles(lines)).select(
         "userId",
         "queryStartMs",
@@ -70,12 +75,23 @@ def scan_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _profile_files(spark, sf_dir)
+    """Every line of files that are read split by split: its digest, and what is left of its place.
+
+    The files hold a line's position in front of it, so position and content can be compared.
+    """
+    path = f"{sinks.new_staging_dir(spark)}/files"
+    # Positions from the task and the place in it, which is how the lines are written.
+    numbered = profile_lines(spark, sf_dir).withColumn("at", F.monotonically_increasing_id())
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).cast("string")
+    numbered.select(F.concat_ws("|", place, "file_name", "attempt", "line")).write.text(path)
     lines = read_profile_lines(spark, path, pattern="*.txt", whole_file_limit=0)
-    per_file = lines.groupBy("file_name").agg(
-        F.count("*").alias("n"), (F.max("attempt") + 1).alias("last")
+    parts = F.split("line", r"\|", 4)
+    return lines.select(
+        parts[1].alias("file_name"),
+        parts[2].cast("bigint").alias("attempt"),
+        (F.col("attempt") - parts[0].cast("bigint")).alias("shift"),
+        F.regexp_extract(parts[3], r'"start":(\d+)', 1).cast("bigint").alias("startMs"),
     )
-    return per_file.agg(F.sum("n").alias("linesInFiles"), F.sum("last").alias("positions"))
 
 
 def parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +179,67 @@ def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = profile_lines(spark, sf_dir)
     ingest_lines(lines.where("attempt = 0"), out, **SETTINGS)
     ingest_lines(lines, out, skip_existing=True, tick_ms=TICK_MS, chunk_size=CHUNK_SIZE)
-    return _table_rows(read_tables(spark, out))
+    return _stored_headers(spark, out)
+
+
+def _stored_headers(spark: SparkSession, out: str) -> DataFrame:
+    """Every stored query with what the other tables hold of it."""
+    t = read_tables(spark, out)
+    per_query = [
+        t["query_text"].groupBy("qNum").agg(F.sum(F.length("chunkText")).alias("textLength")),
+        t["nodes"].groupBy("qNum").agg(F.sum("maxMemoryUsed").alias("memory")),
+        t["ticks"].groupBy("qNum").agg(F.count("*").alias("ticks"), F.sum(F.col("tickMs") % 3600000).alias("tickSum")),
+    ]
+    found = t["queries"].select("qNum", *ID, "userId", "queryStartMs", "finalState")
+    for other in per_query:
+        found = found.join(other, "qNum", "left")
+    return found.drop("qNum")
+
+
+class BrokenOff(Exception):
+    """Raised by a query that ends a run on purpose."""
+
+
+def broken_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First attempts are stored; runs over all lines that replace them break off after each table.
+
+    What is visible afterwards, and what is visible once such a run ends.
+    """
+    out = sinks.new_staging_dir(spark)
+    lines = profile_lines(spark, sf_dir)
+    ingest_lines(lines.where("attempt = 0"), out, **SETTINGS)
+
+    def breaking(at: str):
+        def written(table: str) -> None:
+            if table == at:
+                raise BrokenOff(table)
+
+        return written
+
+    for table in ("quarantine", "nodes", "queries"):
+        try:
+            ingest_lines(lines, out, replace=True, written=breaking(table), **SETTINGS)
+        except BrokenOff:
+            pass
+    broken = _table_rows(read_tables(spark, out)).select(F.lit("broken off").alias("run"), "*").checkpoint()
+    ingest_lines(lines, out, replace=True, **SETTINGS)
+    return broken.unionByName(_table_rows(read_tables(spark, out)).select(F.lit("done").alias("run"), "*"))
+
+
+def same_name_other_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the same names: from another time they are added, from the same time they replace."""
+    out = sinks.new_staging_dir(spark)
+    k = F.regexp_extract("file_name", r"q(\d+)\.", 1).cast("bigint") + F.col("attempt")
+    start = F.regexp_extract("line", r'"start":(\d+)', 1).cast("bigint") % 3600000 - 1700000000000 % 3600000
+    name = F.concat(F.lit("profile_n"), (k % 7).cast("string"), F.lit(".json")).alias("file_name")
+    lines = profile_lines(spark, sf_dir).select(name, k.alias("attempt"), "line", F.pmod(start, F.lit(3600000)).alias("at"))
+    early, late = lines.where("at < 1200000").drop("at"), lines.where("at >= 2400000").drop("at")
+    corrected = early.withColumn("line", F.replace("line", F.lit('"user":"u'), F.lit('"user":"w')))
+    for batch in (early, late, corrected):
+        ingest_lines(batch, out, tick_ms=TICK_MS, chunk_size=CHUNK_SIZE)
+    t = read_tables(spark, out)
+    ticks = t["ticks"].groupBy("qNum").agg(F.count("*").alias("ticks"))
+    return t["queries"].join(ticks, "qNum", "left").select(F.col("attempt").alias("k"), "queryId", "userId", "queryStartMs", "ticks")
 
 
 def ingest_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,24 +247,49 @@ def ingest_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile that the stream has stored; its file name, hence its id, is not a profile's own."""
     out = sinks.new_staging_dir(spark)
     ingest_available(
         spark,
         _profile_files(spark, sf_dir),
         f"{out}/tables",
         f"{out}/progress",
-        pattern="*.txt",
+        max_files_per_trigger=3,
         tick_ms=TICK_MS,
         chunk_size=CHUNK_SIZE,
     )
-    return ticks_per_state(read_tables(spark, f"{out}/tables")["ticks"])
+    return _stored_headers(spark, f"{out}/tables").drop(*ID)
+
+
+def sorted_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored headers, and how many of them start before the one above them in their file."""
+    place = Window.partitionBy("file").orderBy("place")
+    rows = _queries(spark, sf_dir).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), "queryStartMs"
+    )
+    early = F.col("queryStartMs") < F.lag("queryStartMs").over(place)
+    return rows.withColumn("early", early).agg(F.count_if("early").alias("outOfOrder"), F.count("*").alias("n"))
+
+
+def ticks_of_an_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One state in one hour: the filters reach the files, which are laid out for them."""
+    first = 1700000000000 // 3600000 * 3600000
+    ticks = tables(spark, sf_dir)["ticks"]
+    hour = ticks.where((F.col("queryState") == 3) & (F.col("tickMs") >= first) & (F.col("tickMs") < first + 3600000))
+    return hour.groupBy("tickMs").agg(F.count("*").alias("n"), F.sum("stateDurationMs").alias("sumDuration"))
 
 
 def registered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(spark, tables(spark, sf_dir), prefix="derived_")
+    """All five views as they are stored beside the tables, registered from there and queried by name."""
+    out = ingest_derived(spark, sf_dir)[0]
+    save_views(spark, out)
+    load_views(spark, out, prefix="derived_")
     return spark.sql(
-        """SELECT finalstate, count(*) AS n, sum(totalQueries) AS totalQueries
-           FROM derived_profile_state_tick_agg GROUP BY finalstate"""
+        """SELECT 'profileTicksNodes' AS viewName, count(*) AS n, sum(tickMs % 3600000 + stateDurationMs) AS content, sum(maxMemMb) AS numbers FROM derived_profileTicksNodes
+           UNION ALL SELECT 'profileTickNodeAgg_1', count(*), sum(tickMs % 3600000 + queryCount * fragments), sum(memMb) FROM derived_profileTickNodeAgg_1
+           UNION ALL SELECT 'profileTickNodeAgg', count(*), sum(tickMs % 3600000 + nodeCount * maxFragmentsPerNode), sum(maxMemMbPerNode) FROM derived_profileTickNodeAgg
+           UNION ALL SELECT 'profileStateTick', count(*), sum(tickMs % 3600000 + CAST(round(stateDurationSec * 1000) AS BIGINT)), CAST(sum(length(queryState)) AS DOUBLE) FROM derived_profileStateTick
+           UNION ALL SELECT 'profile_state_tick_agg', count(*), sum(tickMs % 3600000 + totalQueries * sumDuration), CAST(sum(maxDuration - minDuration) AS DOUBLE) FROM derived_profile_state_tick_agg"""
     )
 
 
@@ -399,8 +500,12 @@ def queries() -> dict[str, Query]:
         "replace_then_append": replace_then_append,
         "rerun_tables": rerun_tables,
         "skip_existing": skip_existing,
+        "broken_rerun": broken_rerun,
+        "same_name_other_content": same_name_other_content,
         "ingest_range": ingest_range,
         "ingest_stream": ingest_stream,
+        "sorted_headers": sorted_headers,
+        "ticks_of_an_hour": ticks_of_an_hour,
         "register_views": registered_views,
         "state_names": states,
         "query_header": query_header,
@@ -432,4 +537,5 @@ def queries() -> dict[str, Query]:
         **{f"view_{name}": _view(name) for name in VIEWS},
         **{f"eager_view_{name}": _eager_view(name) for name in VIEWS[1:3]},
         **{f"late_view_{name}": _late_view(name) for name in VIEWS},
+        "range_view_state_tick_agg": _late_view("state_block_agg"),
     }

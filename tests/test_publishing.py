@@ -1,0 +1,250 @@
+"""Runs become visible in one step; what overlaps is found without moving profiles; layout of files."""
+
+import os
+
+import pyarrow.parquet as pq
+import pytest
+from helpers import lines_frame, node, plan, profile, rows, write_files
+from pyspark.sql import functions as F
+
+from tickloom import ingest, ingest_lines, read_tables
+from tickloom.model import TABLE_NAMES
+from tickloom.operators import manifest, overlap
+from tickloom.plans import ingest as ingest_plan
+from tickloom.plans import views
+from tickloom.plans.catalog import VIEW_NAMES
+from tickloom.plans.stored_views import load_views, save_views
+from tickloom.sources import profile_files
+from tickloom.streaming import incremental
+
+
+def batch(users, start=1000):
+    return [(f"q{i}", 0, profile(user=u, start=start + i, nodes=[node()])) for i, u in enumerate(users)]
+
+
+def seen(spark, out):
+    t = read_tables(spark, out)
+    counts = {n: t[n].select("qNum").distinct().count() for n in TABLE_NAMES}
+    return sorted(r.userId for r in t["queries"].collect()), counts
+
+
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("table", ["quarantine", *TABLE_NAMES])
+def test_a_run_that_breaks_off_shows_nothing(spark, tmp_path, table):
+    out = str(tmp_path / "out")
+
+    def written(name):
+        if name == table:
+            raise Broken
+
+    with pytest.raises(Broken):
+        ingest_lines(lines_frame(spark, batch("x")), out, written=written)
+    assert seen(spark, out)[0] == []
+    ingest_lines(lines_frame(spark, batch("ab")), out)
+    old = seen(spark, out)
+    assert old == (["a", "b"], dict.fromkeys(TABLE_NAMES, 2))
+    with pytest.raises(Broken):
+        ingest_lines(lines_frame(spark, batch("cd")), out, written=written)
+    assert seen(spark, out) == old
+    ingest_lines(lines_frame(spark, batch("cd")), out)
+    assert seen(spark, out)[0] == ["c", "d"]
+    # What the broken run of this batch left is gone; the first one was another batch.
+    left = {n for n in TABLE_NAMES for p in os.listdir(f"{out}/{n}") if p.partition("=")[2] not in manifest.read_manifest(spark, out).partitions(n)}
+    assert all(len(os.listdir(f"{out}/{n}")) == (2 if n in left else 1) for n in TABLE_NAMES)
+
+
+def test_leftovers_are_removed_on_demand(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def written(name):
+        raise Broken
+
+    with pytest.raises(Broken):
+        ingest_lines(lines_frame(spark, batch("x")), out, written=written)
+    assert manifest.remove_unlisted(spark, out, None)
+    assert not os.listdir(f"{out}/quarantine")
+
+
+def test_two_runs_that_publish_at_once(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    manifest.open_manifest(spark, out)
+    add = lambda name: lambda batches: (*batches, manifest.Batch(name, name))
+    read, raced = manifest.read_manifest, []
+
+    def slow(spark, output_dir):
+        found = read(spark, output_dir)
+        if not raced:
+            raced.append(True)
+            manifest.publish(spark, output_dir, add("first"))
+        return found
+
+    monkeypatch.setattr(manifest, "read_manifest", slow)
+    manifest.publish(spark, out, add("second"))
+    assert [b.partition for b in read(spark, out).batches] == ["first", "second"]
+    for i in range(2 * manifest.KEPT_VERSIONS):
+        manifest.publish(spark, out, add(str(i)))
+    assert len([f for f in os.listdir(f"{out}/_manifest") if f.endswith(".json")]) == manifest.KEPT_VERSIONS
+
+
+def test_a_store_without_manifest_is_taken_over(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ingest_lines(lines_frame(spark, batch("ab")), out)
+    for name in os.listdir(f"{out}/_manifest"):
+        os.remove(f"{out}/_manifest/{name}")
+    assert seen(spark, out)[0] == ["a", "b"]
+    ingest_lines(lines_frame(spark, [("z", 0, profile(user="z", start=90_000))]), out)
+    users, counts = seen(spark, out)
+    assert users == ["a", "b", "z"] and counts["queries"] == 3
+
+
+def test_the_same_batch_keeps_its_numbers(spark, tmp_path):
+    out = str(tmp_path / "out")
+    first = ingest_lines(lines_frame(spark, batch("ab")), out)
+    other = ingest_lines(lines_frame(spark, batch("cd", start=50_000)), out)
+    assert other.base == first.base + 2
+    assert ingest_lines(lines_frame(spark, batch("ab")), out).base == first.base
+    numbers = [r.qNum for r in read_tables(spark, out)["queries"].collect()]
+    assert sorted(numbers) == [first.base + i for i in (1, 2, 3, 4)]
+
+
+def test_files_of_the_same_name_from_another_time(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for users, start in (("ab", 1000), ("cd", 9000), ("ef", 1001)):
+        ingest_lines(lines_frame(spark, batch(users, start)), out)
+    assert seen(spark, out)[0] == ["c", "d", "e", "f"]
+
+
+def test_counts_in_the_manifest(spark, tmp_path):
+    out = str(tmp_path / "out")
+    report = ingest_lines(lines_frame(spark, [*batch("ab"), ("bad", 0, "{")]), out)
+    (kept,) = manifest.read_manifest(spark, out).batches
+    t = read_tables(spark, out)
+    assert (kept.profiles, kept.rows, kept.nodes, kept.tick_ms) == (2, 3, t["nodes"].count(), 100)
+    assert {int(k): n for k, n in kept.ticks.items()} == report.stored_ticks == report.expected_ticks
+    assert sum(kept.ticks.values()) == t["ticks"].count()
+
+
+# --- overlap ---------------------------------------------------------------------------
+
+
+def identities(spark, n, step=1):
+    return spark.range(0, n, step, 3).selectExpr("concat('q', id) AS queryId", "id % 3 AS attempt", "1000 + id AS queryStartMs")
+
+
+def test_membership_filter(spark):
+    known = identities(spark, 20_000, 2)
+    slots = overlap.filter_slots(10_000)
+    assert slots > 1
+    passed = {r.queryId for r in overlap.may_be_known(identities(spark, 20_000), known, slots).collect()}
+    assert {f"q{i}" for i in range(0, 20_000, 2)} <= passed
+    assert len(passed) < 10_000 * 1.02
+    assert overlap.filter_slots(0) == 1
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 4096, 1])
+def test_known_rows_are_left_out_by_place(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", bound)
+    staged_dir, places = str(tmp_path / "staged"), str(tmp_path / "places")
+    identities(spark, 70_000).withColumn("queryText", F.lit("x")).repartition(3).write.parquet(staged_dir)
+    staged = spark.read.parquet(staged_dir)
+    stored = identities(spark, 35_000, 5)
+    overlap.known_places(staged, stored).write.parquet(places)
+    left = overlap.without_places(staged, spark.read.parquet(places))
+    assert left.columns == staged.columns
+    want = {f"q{i}" for i in range(70_000)} - {f"q{i}" for i in range(0, 35_000, 5)}
+    got = [r.queryId for r in left.select("queryId").collect()]
+    assert set(got) == want and len(got) == len(want)
+    if bound > 1:
+        assert "Exchange hashpartitioning" not in plan(left)
+    # Nothing known: all rows stay.
+    overlap.known_places(staged, stored.where("false")).write.parquet(places + "0")
+    assert overlap.without_places(staged, spark.read.parquet(places + "0")).count() == 70_000
+
+
+def test_no_text_moves_when_existing_profiles_are_skipped(spark, tmp_path, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = str(tmp_path / "out")
+    report = ingest_lines(lines_frame(spark, batch("abc")), out, keep_staging=True)
+    staged = spark.read.parquet(report.staged_dir)
+    places = overlap.known_places(staged, read_tables(spark, out)["queries"])
+    assert "queryText" not in plan(places) and "nodeProfile" not in plan(places)
+    places.write.parquet(str(tmp_path / "places"))
+    left = overlap.without_places(staged, spark.read.schema(ingest_plan.PLACES_DDL).parquet(str(tmp_path / "places")))
+    assert "Exchange hashpartitioning" not in plan(left) and left.count() == 0
+
+
+# --- layout and reading ----------------------------------------------------------------
+
+
+def test_ticks_can_be_skipped_by_state_and_time(spark, tmp_path, monkeypatch):
+    """Row groups cover few states and little time, so a filter on both passes most of them by."""
+    monkeypatch.setitem(ingest_plan.WRITE_OPTIONS, "ticks", {"parquet.block.size": "20000", "parquet.block.size.row.check.min": "100"})
+    states = lambda i: [(1, 1_000 + i), (3, 100_000 + i), (8, 200_000 + i), (9, 400_000 + i)]
+    out = str(tmp_path / "out")
+    ingest_lines(lines_frame(spark, [(f"q{i}", 0, profile(states(i))) for i in range(30)]), out)
+    (folder,) = os.listdir(f"{out}/ticks")
+    groups, met = 0, 0
+    for name in os.listdir(f"{out}/ticks/{folder}"):
+        if name.endswith(".parquet"):
+            meta = pq.ParquetFile(f"{out}/ticks/{folder}/{name}").metadata
+            columns = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+            for g in range(meta.num_row_groups):
+                spans = [meta.row_group(g).column(columns[c]).statistics for c in ("queryState", "tickMs")]
+                groups += 1
+                met += spans[0].min <= 8 <= spans[0].max and spans[1].min < 250_000 and spans[1].max >= 240_000
+    assert groups > 10 and met <= groups / 3
+    ticks = read_tables(spark, out)["ticks"].where("queryState = 8 AND tickMs >= 240000 AND tickMs < 250000")
+    assert "PushedFilters: [IsNotNull(queryState), IsNotNull(tickMs), EqualTo(queryState,8)" in plan(ticks)
+    assert ticks.count() == 30 * 100
+
+
+def test_a_stream_only_lists_files(spark, tmp_path, monkeypatch):
+    """The stream has names and lengths, each batch reads its own files, and names are no patterns."""
+    names = ["profile_a b+c%41.json", "profile_[x].json", "profile_{y}*.json", "profile_big.JSON"]
+    source = write_files(tmp_path / "in", {n: [profile(user=n)] * (1 if "big" not in n else 50) for n in names} | {"profile_q.txt": "no"})
+    found = profile_files.new_files(spark, source)
+    assert found.isStreaming and found.columns == ["path", "length"]
+    plans = []
+    monkeypatch.setattr(incremental, "read_listed", lambda *a, **k: plans.append(profile_files.read_listed(*a, **k)) or plans[-1])
+    out = str(tmp_path / "out")
+    incremental.ingest_available(spark, source, out, str(tmp_path / "progress"), max_files_per_trigger=2, whole_file_limit=5000)
+    assert len(plans) == 2
+    for lines in plans:
+        # Once whole or split by split; the counts of a split file are there already.
+        assert plan(lines).count("FileScan text") == 2 and "Exchange hashpartitioning" not in plan(lines)
+    t = read_tables(spark, out)
+    got = sorted((r.queryId, r.userId, r.attempt) for r in t["queries"].collect())
+    assert got == sorted((n[8:-5], n, i) for n in names for i in range(50 if "big" in n else 1))
+
+
+def test_lines_of_large_files_do_not_move(spark, tmp_path, conf):
+    conf("spark.sql.files.maxPartitionBytes", "20000")
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    path = write_files(tmp_path / "in", {f"profile_{n}.json": [profile(user=f"{n}{i}") for i in range(300)] for n in "ab"})
+    lines = profile_files.read_profile_lines(spark, path, whole_file_limit=0)
+    assert "Exchange" not in plan(lines).replace("BroadcastExchange", "")
+    users = lines.select("attempt", F.get_json_object("line", "$.user").alias("u"))
+    assert all(r.u[1:] == str(r.attempt) for r in users.collect()) and lines.count() == 600
+
+
+def test_views_from_another_session(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ingest(spark, write_files(tmp_path / "in", {"profile_a.json": [profile(nodes=[node()]), profile(nodes=[node(port=None)], user=None)]}), out)
+    assert save_views(spark, out) == list(VIEW_NAMES)
+    second = spark.newSession()
+    names = load_views(second, out, prefix="s_")
+    assert set(names) == {f"s_{n}" for n in (*TABLE_NAMES, "state_names", *VIEW_NAMES)}
+    t = read_tables(spark, out)
+    for name, builder in VIEW_NAMES.items():
+        want = getattr(views, builder)(t)
+        got = second.table(f"s_{name}")
+        assert got.columns == want.columns and rows(got) == rows(want) != []
+    # An edited definition counts.
+    (file,) = [f for f in os.listdir(f"{out}/_views") if "profileStateTick.sql" in f and not f.startswith(".")]
+    (tmp_path / "out" / "_views" / f".{file}.crc").unlink(missing_ok=True)
+    (tmp_path / "out" / "_views" / file).write_text("SELECT count(*) AS n FROM ${prefix}ticks")
+    load_views(second, out)
+    assert second.table("profileStateTick").first().n == t["ticks"].count()

@@ -205,7 +205,7 @@ def test_plans(tables, monkeypatch):
     assert "CartesianProduct" not in stored and "NestedLoop" not in stored
     for name in NAMES:
         late = plan(getattr(late_views, name)(tables, TICK))
-        assert "/ticks]" not in late
+        assert "struct<tickMs:" not in late
         assert "NestedLoop" not in late
     # One narrow shuffle of phases, one of partial aggregates, one for the order.
     assert count_in_plan(late_views.state_tick_agg(tables, TICK), "Exchange ") == 3
@@ -221,11 +221,49 @@ def test_ticks_are_scanned_once(tables, conf):
     for name, options in plain + eager:
         found = getattr(views, name)(tables, **options)
         text = plan(found)
-        assert text.count("/ticks]") == 1, name
+        assert text.count("ReadSchema: struct<tickMs:") == 1, name
         # One more where the attempts of a query id are counted first.
         assert count_in_plan(found, "Exchange ") <= (9 if options and name == "tick_node_agg" else 8), name
 
 
+def test_late_node_views_move_little(tables, conf):
+    """Without broadcasts: the sweep, both sides of the join, the sums, and the spread before ticks."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for name in ("tick_node_agg_1", "tick_node_agg"):
+        found = getattr(late_views, name)(tables, TICK)
+        assert count_in_plan(found, "Exchange ") <= 6, name
+        # Ticks come into being once.
+        assert count_in_plan(found, r"explode\(sequence\(sliceTick") == 1, name
+
+
+def test_no_job_runs_while_views_are_defined(spark, tables):
+    spark.sparkContext.setJobGroup("definitions", "")
+    try:
+        register_views(spark, tables, tick_ms=TICK, prefix="late_")
+        register_views(spark, tables, prefix="plain_")
+        late_views.state_block_agg(tables, TICK)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("definitions")
+        spark.sql("SELECT count(*) FROM late_profileStateTick").collect()
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("definitions")
+    finally:
+        spark.sparkContext.setJobGroup("tests", "")
+
+
+def test_tasks_follow_the_stored_counts(spark, tables):
+    few = late_views.expansion_tasks(tables, TICK)
+    assert few == 1
+    many = tables["queries"].sparkSession.conf.get("spark.sql.shuffle.partitions")
+    assert late_views.expansion_tasks(dict(tables), TICK) == int(many)
+    stored = sum(n for b in tables.manifest.batches for n in b.ticks.values())
+    assert stored == tables["ticks"].count()
+    narrow = late_views.expansion_tasks(tables, 1)
+    assert 1 <= narrow <= 1 + stored * TICK // ticks_module.TICKS_PER_SMALL_TASK
+
+
+def test_blocks_of_ticks(tables, random_entries):
+    assert rows(late_views.state_block_agg(tables, TICK)) == rows(views.state_tick_agg(tables))
+
+
 def test_missing_query_ids_form_one_group(spark, tables):
     nameless = tables | {"queries": tables["queries"].withColumn("queryId", F.expr("nullif(queryId, 'q03')"))}
     for name in ("tick_node_agg_1", "tick_node_agg"):

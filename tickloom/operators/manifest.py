@@ -18,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from tickloom.model import TABLE_NAMES
-from tickloom.operators.sinks import children, file_system, remove
+from tickloom.operators.sinks import children, file_system, read_text, remove, write_text
 
 FOLDER = "_manifest"
 QUARANTINE = "quarantine"
@@ -87,12 +87,7 @@ def read_manifest(spark: SparkSession, output_dir: str) -> Manifest:
     if not versions:
         found = [n.partition("=")[2] for n in children(spark, f"{output_dir}/queries") if n.startswith("ingest_range=")]
         return Manifest(0, tuple(_unlisted(n) for n in sorted(found)))
-    where, fs = file_system(spark, _path(output_dir, versions[-1]))
-    stream = fs.open(where)
-    try:
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+    text = read_text(spark, _path(output_dir, versions[-1]))
     batches = (Batch(**(b | {"tables": tuple(b["tables"])})) for b in json.loads(text)["batches"])
     return Manifest(versions[-1], tuple(batches))
 
@@ -105,15 +100,10 @@ def _unlisted(name: str) -> Batch:
 
 def _published(spark: SparkSession, output_dir: str, manifest: Manifest) -> bool:
     """Whether this version could be put in place; False if it exists."""
-    jvm = spark._jvm
-    final = jvm.org.apache.hadoop.fs.Path(_path(output_dir, manifest.version))
-    draft = jvm.org.apache.hadoop.fs.Path(f"{output_dir}/{FOLDER}/.{uuid.uuid4().hex}")
-    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = fs.create(draft)
-    try:
-        stream.write(json.dumps({"batches": [asdict(b) for b in manifest.batches]}).encode())
-    finally:
-        stream.close()
+    jvm, final = spark._jvm, _path(output_dir, manifest.version)
+    draft = f"{output_dir}/{FOLDER}/.{uuid.uuid4().hex}"
+    write_text(spark, draft, json.dumps({"batches": [asdict(b) for b in manifest.batches]}))
+    (draft, fs), (final, _) = file_system(spark, draft), file_system(spark, final)
     # This kind of rename never replaces what is there.
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
     no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)

@@ -67,6 +67,25 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(c.getPath().getName() for c in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    where, fs = file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    where, fs = file_system(spark, path)
+    stream = fs.create(where)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
 def write_table(df: DataFrame, output_dir: str, name: str, ingest_range: str | None, options: dict[str, str] | None = None) -> str:
     """Write one table, or only its partition ``ingest_range``.
 

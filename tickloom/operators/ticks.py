@@ -86,14 +86,14 @@ def spread_and_expand(
 
     What moves between tasks is slices, not ticks.  The number of partitions is
     given outright because adaptive execution would merge partitions by their size
-    before the expansion; without ``partitions`` it follows from the number of ticks,
-    which is one sum over the ranges.
+    before the expansion; `task_count` says how many suit a number of ticks, and
+    without ``partitions`` the session's number is taken.
     """
     tick = F.lit(tick_ms).cast("bigint")
     first, last = F.col("firstTick"), F.col("lastTick")
     width = F.lit(tick_ms * SLICE_TICKS).cast("bigint")
     rest = [c for c in ranges.columns if c not in ("firstTick", "lastTick")]
-    n = partitions or task_count(ranges, ranges.agg(F.sum(ticks_in_range(tick_ms))).first()[0] or 0)
+    n = partitions or shuffle_partitions(ranges)
     slices = ranges.select(
         *rest,
         "lastTick",

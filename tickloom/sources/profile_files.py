@@ -3,105 +3,123 @@
 One file holds all attempts of one query, one JSON object per line; the position
 of a line is the attempt.  Most files are small and are read whole, so that the
 line position is known without a shuffle.  A file above ``whole_file_limit`` is
-read split by split instead, and its lines are numbered from the split they are in.
+read split by split instead: a first scan counts the lines of each split, and the
+second adds what the splits before hold to a line's place in its own.  The lines
+themselves never move.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.sinks import staging_root
+
 FILE_PATTERN = "*.{json,JSON}"
 WHOLE_FILE_LIMIT = 32 * 1024 * 1024
+#: So many splits, of 32 bytes each, may be broadcast; beyond it lines are joined with them.
+BROADCAST_SPLITS = 4_000_000
 
 _LINE_END = "\r\n|\n|\r"
+_FILES_DDL = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
+def _text(spark: SparkSession, paths: str | list[str], whole: bool, pattern: str) -> DataFrame:
+    return (
+        spark.read.option("pathGlobFilter", pattern)
+        .text(paths, wholetext=whole)
+        .select(
+            F.col("_metadata.file_name").alias("rawName"),
+            F.col("_metadata.file_path").alias("filePath"),
+            F.col("_metadata.file_size").alias("fileSize"),
+            F.col("_metadata.file_block_start").alias("blockStart"),
+            "value",
+        )
+    )
 
 
 def scan_files(
-    spark: SparkSession,
-    path: str,
-    *,
-    pattern: str = FILE_PATTERN,
-    whole_file_limit: int = WHOLE_FILE_LIMIT,
-    stream_options: dict[str, str] | None = None,
-) -> DataFrame:
-    """Raw text of the files directly below ``path``.
+    spark: SparkSession, path: str, *, pattern: str = FILE_PATTERN, whole_file_limit: int = WHOLE_FILE_LIMIT
+) -> tuple[DataFrame, DataFrame]:
+    """Raw text of the files directly below ``path``: small ones a row each, large ones a row per line.
 
-    Small files give one row each (``whole`` true), large ones a row per line.  The
-    size conditions are on file metadata, so each branch lists only its own files.
-    Pass ``stream_options`` (possibly empty) to get a stream of newly arrived files.
+    The size conditions are on file metadata, so each branch opens only its own files.
     """
+    size = F.col("fileSize")
+    return (
+        _text(spark, path, True, pattern).where(size <= whole_file_limit),
+        _text(spark, path, False, pattern).where(size > whole_file_limit),
+    )
 
-    def text(whole: bool) -> DataFrame:
-        if stream_options is None:
-            reader = spark.read.option("pathGlobFilter", pattern)
-        else:
-            reader = spark.readStream.options(**stream_options).option("pathGlobFilter", pattern)
-        size = F.col("_metadata.file_size")
-        return (
-            reader.text(path, wholetext=whole)
-            .where(size <= whole_file_limit if whole else size > whole_file_limit)
-            .select(
-                F.lit(whole).alias("whole"),
-                F.col("_metadata.file_name").alias("rawName"),
-                F.col("_metadata.file_path").alias("filePath"),
-                F.col("_metadata.file_block_start").alias("blockStart"),
-                "value",
-            )
-        )
 
-    return text(True).unionByName(text(False))
+def new_files(spark: SparkSession, path: str, *, pattern: str = FILE_PATTERN, stream_options: dict[str, str] | None = None) -> DataFrame:
+    """Stream of the ``path`` and ``length`` of each new file directly below ``path``; no file is opened."""
+    reader = spark.readStream.format("binaryFile").schema(_FILES_DDL).options(**(stream_options or {}))
+    return reader.option("pathGlobFilter", pattern).load(path).select("path", "length")
 
 
-def to_lines(raw: DataFrame) -> DataFrame:
-    """``(file_name, attempt, line)`` for every line that is not blank."""
-    small = raw.where("whole").select(
-        "rawName", F.posexplode(F.split("value", _LINE_END)).alias("attempt", "line")
+def read_listed(
+    spark: SparkSession, files: Sequence[tuple[str, int]], *, whole_file_limit: int = WHOLE_FILE_LIMIT
+) -> DataFrame:
+    """Lines of the files ``(path, length)``, such as a batch of `new_files` has."""
+    # A path is taken as it is, not as a pattern.
+    literal = lambda p: re.sub(r"([*?\[\]{}\\^])", r"\\\1", p)
+    small = [literal(p) for p, n in files if n <= whole_file_limit]
+    large = [literal(p) for p, n in files if n > whole_file_limit]
+    empty = spark.createDataFrame([], "rawName STRING, filePath STRING, fileSize BIGINT, blockStart BIGINT, value STRING")
+    return to_lines(
+        _text(spark, small, True, "*") if small else empty, _text(spark, large, False, "*") if large else empty
     )
-    large = _number_split_lines(raw.where("NOT whole"))
+
+
+def to_lines(small: DataFrame, large: DataFrame) -> DataFrame:
+    """``(file_name, attempt, line)`` for every line that is not blank."""
+    whole = small.select("rawName", F.posexplode(F.split("value", _LINE_END)).alias("attempt", "line"))
+    split = _number_split_lines(large)
     # File names in metadata are URL-encoded, but a plus sign in them is a plus sign.
     name = F.try_url_decode(F.replace("rawName", F.lit("+"), F.lit("%2B")))
     line = F.ltrim("line", F.lit("\ufeff"))
     return (
-        small.unionByName(large)
+        whole.unionByName(split)
         .select(name.alias("file_name"), F.col("attempt").cast("bigint").alias("attempt"), line.alias("line"))
         .where(F.trim("line") != "")
     )
 
 
 def _number_split_lines(lines: DataFrame) -> DataFrame:
-    """Line positions of split files.
+    """Line positions of split files, by two scans.
 
-    Inside a split, lines keep their order and get consecutive ids, so a position
-    is the lines of the earlier splits of the file plus the distance to the first
-    id of this split.  Only one row per split is aggregated and put in order, and
-    the lines themselves need not be sorted or brought together.
+    Inside a split, lines keep their order and get consecutive ids.  The first scan finds the
+    first id and the number of lines of each split, which is all that is aggregated and put in
+    order; the second finds the position of a line from its id alone.  Both scans deal out the
+    same files in the same way; a line whose id does not fit its split fails the job.
     """
-    marked = lines.withColumn("rowId", F.monotonically_increasing_id())
-    earlier = (
-        Window.partitionBy("filePath")
-        .orderBy("blockStart")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    marked = lines.withColumn("rowId", F.monotonically_increasing_id()).withColumn("fileKey", F.xxhash64("filePath"))
+    earlier = Window.partitionBy("fileKey").orderBy("blockStart").rowsBetween(Window.unboundedPreceding, -1)
+    staging_root(lines.sparkSession)
     splits = (
-        marked.groupBy("filePath", "blockStart")
+        marked.groupBy("fileKey", "blockStart")
         .agg(F.min("rowId").alias("firstId"), F.count("*").alias("lineCount"))
-        .select(
-            "filePath",
-            "blockStart",
-            (F.coalesce(F.sum("lineCount").over(earlier), F.lit(0)) - F.col("firstId")).alias("shift"),
-        )
+        .select("*", F.coalesce(F.sum("lineCount").over(earlier), F.lit(0)).alias("before"))
+        .checkpoint()
     )
-    return marked.join(splits, ["filePath", "blockStart"]).select(
-        "rawName",
-        (F.col("rowId") + F.col("shift")).alias("attempt"),
-        F.col("value").alias("line"),
+    n = splits.count()
+    if not n:
+        return lines.select("rawName", F.lit(0).cast("bigint").alias("attempt"), F.col("value").alias("line")).where("false")
+    place = F.col("rowId") - F.col("firstId")
+    fits = (place >= 0) & (place < F.col("lineCount"))
+    position = F.when(fits, F.col("before") + place).otherwise(F.raise_error(F.lit("the files have changed")).cast("bigint"))
+    return marked.join(F.broadcast(splits) if n <= BROADCAST_SPLITS else splits, ["fileKey", "blockStart"]).select(
+        "rawName", position.alias("attempt"), F.col("value").alias("line")
     )
 
 
 def read_profile_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """Lines of the profile files directly below ``path``; options as in `scan_files`."""
-    return to_lines(scan_files(spark, path, **options))
+    return to_lines(*scan_files(spark, path, **options))
 
 
 def query_id_from_file(file_name: Column) -> Column:

@@ -1,8 +1,8 @@
 """Ingest of the files that arrived since the last run.
 
-The stream only finds new files; each micro-batch goes through the batch job.  Its
-partition carries the batch id, so a batch that is repeated after a failure replaces
-its own rows and two batches never replace each other's.
+The stream only finds new files, by name and length; what is in them is read by the batch job,
+which gets the names of a micro-batch.  A batch's partition carries the batch id, so one that is
+repeated after a failure replaces its own rows and two batches never replace each other's.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.plans.ingest import ingest_lines
-from tickloom.sources.profile_files import FILE_PATTERN, WHOLE_FILE_LIMIT, scan_files, to_lines
+from tickloom.sources.profile_files import FILE_PATTERN, WHOLE_FILE_LIMIT, new_files, read_listed
 
 
 def ingest_available(
@@ -31,19 +31,16 @@ def ingest_available(
     stream_options = {}
     if max_files_per_trigger is not None:
         stream_options["maxFilesPerTrigger"] = str(max_files_per_trigger)
-    raw = scan_files(
-        spark,
-        input_dir,
-        pattern=pattern,
-        whole_file_limit=whole_file_limit,
-        stream_options=stream_options,
-    )
+    found = new_files(spark, input_dir, pattern=pattern, stream_options=stream_options)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ingest_lines(to_lines(batch), output_dir, tag=f"b{batch_id}", **options)
+        # Names and lengths only, as the stream itself holds them on the driver.
+        files = sorted((r["path"], r["length"]) for r in batch.collect())
+        lines = read_listed(spark, files, whole_file_limit=whole_file_limit)
+        ingest_lines(lines, output_dir, tag=f"b{batch_id}", **options)
 
     query = (
-        raw.writeStream.foreachBatch(write_batch)
+        found.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .start()

@@ -109,7 +109,7 @@ FROM (SELECT queryId, attempt, query, unnest(range(0, nrQueryChunks)) AS i FROM
 _PIVOT = """
 SELECT q.queryId, q.attempt, CAST(NULL AS BIGINT) AS stateInvalidMs, s1 AS statePendingMs,
   s2 AS stateMetadataRetrievalMs, s3 AS statePlanningMs, s4 AS stateQueuedMs,
-  CAST(NULL AS BIGINT) AS stateEngineStartMs, s6 AS stateExecutionPlanningMs, s7 AS stateStartingMs,
+  s5 AS stateEngineStartMs, s6 AS stateExecutionPlanningMs, s7 AS stateStartingMs,
   s8 AS stateRunningMs, CASE WHEN tc = 9 THEN st END AS stateCompletedMs,
   CASE WHEN tc = 10 THEN st END AS stateCanceledMs, CASE WHEN tc = 11 THEN st END AS stateFailedMs
 FROM queries q JOIN prof p ON p.k = q.k
@@ -137,7 +137,7 @@ _ANSWERS = {
         (SELECT count(*) FROM nodes n WHERE n.k = q.k) AS nodes FROM queries q""",
     "split_file_lines": """SELECT 'profile_' || queryId || '.json' AS file_name, attempt, CAST(0 AS BIGINT) AS shift, startMs FROM prof""",
     "parse_profiles": """SELECT queryId, attempt, userId, queryStartMs, query AS queryText,
-        (SELECT count(*) FROM marks m WHERE m.k = q.k) AS states,
+        (SELECT count(*) FROM marks m WHERE m.k = q.k) + (SELECT count(s5) FROM prof p WHERE p.k = q.k) AS states,
         (SELECT count(*) FROM nodes n WHERE n.k = q.k) AS nodes FROM queries q""",
     "quarantine": f"""SELECT 'profile_' || queryId || '.json' AS file_name, attempt,
         CASE k % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'stateList' ELSE 'malformed JSON' END AS problem

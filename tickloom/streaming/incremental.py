@@ -34,8 +34,9 @@ def ingest_available(
     found = new_files(spark, input_dir, pattern=pattern, stream_options=stream_options)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # Names and lengths only, as the stream itself holds them on the driver.
-        files = sorted((r["path"], r["length"]) for r in batch.collect())
+        # Names and lengths only, as the stream itself holds them on the driver.  Where a name has
+        # a pattern's characters, Spark lists other files of its batch twice.
+        files = sorted({(r["path"], r["length"]) for r in batch.collect()})
         lines = read_listed(spark, files, whole_file_limit=whole_file_limit)
         ingest_lines(lines, output_dir, tag=f"b{batch_id}", **options)
 

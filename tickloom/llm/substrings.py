@@ -278,10 +278,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of ``LENGTH`` words that covers it also starts in a document with a
     smaller ``doc_id``; all windows are judged on the input.  Texts without words (null, empty)
-    keep nothing and lose nothing.  A missing ``doc_id`` counts as larger than any other.
+    keep nothing and lose nothing.  A missing ``doc_id`` counts as the largest there can be.
     Repeated rows have equal ids, so none makes another lose words.  Other columns are not read.
     """
     docs = docs.select(
+        F.col("doc_id").cast("long").alias("given"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("th", F.xxhash64("text"))
@@ -295,7 +296,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     met = learned(docs.mapInArrow(_anchor_rows(groups), PACKED), ordered=False)
     places = docs.join(met, ["doc_id", "th"])
     removed = staged(learned(places.mapInArrow(_window_rows(groups), PACKED), ordered=True), "removed")
-    out = docs.join(removed, ["doc_id", "th"], "left").mapInArrow(
+    out = docs.join(removed, ["doc_id", "th"], "left").drop("doc_id").withColumnRenamed("given", "doc_id").mapInArrow(
         _kept, "doc_id long, th long, n_words long, n_removed long, kept_text string"
     )
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).drop("th")
+    return out.drop("th")

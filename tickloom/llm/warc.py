@@ -25,6 +25,9 @@ SEGMENT = 16 << 10
 CHUNK = 8 << 10
 #: Fixed by the format: the version line opens a record, an empty line and another close it.
 VERSION = b"WARC/1.1\r\n"
+#: What all versions that are read, 1.0 and 1.1, begin with.
+SEPARATOR = b"WARC/1."
+READ_VERSIONS = (b"0\r\n", b"1\r\n")
 END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -136,7 +139,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of the pieces between version lines; a block that holds such a line is joined again."""
+    """Records of the pieces between versions; a block that holds what looks like one is joined again."""
     held, where = b"", None
     for batch in batches:
         rows = []
@@ -145,7 +148,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held.strip():
                     raise ValueError(f"{where}: the last record is cut short")
                 held, where = b"", file
-            held = held + VERSION + piece if held else piece
+            if not held and piece.strip() and not piece.startswith(READ_VERSIONS):
+                raise ValueError(f"{file}: not a record of WARC 1.0 or 1.1")
+            held = held + SEPARATOR + piece if held else piece
             end = held.find(END)
             if end < 0:
                 held = held if held.strip() else b""
@@ -154,6 +159,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = held[end + 4 : end + 4 + int(f["content-length"])]
             if len(block) < int(f["content-length"]):
                 continue
+            if held[end + 4 + len(block) :].strip():
+                raise ValueError(f"{file}: bytes between two records")
             held = b""
             kind, own = f["warc-type"], f.get("warc-record-id")
             if kind not in ("response", "revisit", "continuation"):
@@ -197,11 +204,11 @@ def read_warc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The responses with whole payloads, and the revisits, of all archives below ``path``.
 
     Pieces between version lines are read as a stream, so an archive of any size takes the memory
-    of one record.  Segments that are missing or of another total length, and payloads with
+    of one record.  Versions 1.0 and 1.1 are read; anything else between two records, segments that are missing or of another total length, and payloads with
     another digest than stated, fail the read.  Archives that are not compressed must be read
     unsplit.
     """
-    pieces = spark.read.option("lineSep", VERSION.decode()).text(path)
+    pieces = spark.read.option("lineSep", SEPARATOR.decode()).text(path)
     records = pieces.select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file")).mapInArrow(_parsed, RECORD)
     parts = (
         records.where("segment is not null")

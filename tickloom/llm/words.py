@@ -7,6 +7,7 @@ about ``PIECE`` bytes that end between two words, so memory does not follow the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ import pyarrow as pa
 
 PIECE = 1 << 19
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words beyond so many bytes are hashed one by one.
+LONG = 256
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,23 +27,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base))
-    out[0] = 1
-    return np.cumprod(out, dtype=U64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as many as the largest piece so far needs."""
-
-    up = down = np.empty(0, U64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, PIECE + 1)
-            cls.up, cls.down = _powers(_BASE, size), _powers(_INVERSE, size)
-        return cls.up, cls.down
+def _hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each span of bytes, eight bytes at a time, each mixed before the next comes in."""
+    size = end - begin
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    value = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15))
+    rest, at = np.arange(len(begin)), 0
+    while len(rest) and at < LONG:
+        piece = eights[begin[rest] + at] & _MASKS[np.minimum(size[rest] - at, 8)]
+        value[rest] = mix((value[rest] ^ mix(piece + U64(0x517CC1B727220A95))) * U64(0x9FB21C651E98DF25))
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in rest.tolist():
+        value[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return value
 
 
 class WordClass:
@@ -53,7 +52,6 @@ class WordClass:
         self.fold = np.arange(256, dtype=np.uint8)
         if lower:
             self.fold[65:91] += 32
-        self.code = mix(self.fold.astype(U64) + U64(0x51_7C_C1))
 
     def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and byte after the last of each word."""
@@ -83,11 +81,7 @@ class WordClass:
         for end in self.cuts(data):
             piece = data[begin:end]
             a, b = self.spans(piece)
-            up, down = _Powers.get(len(piece) + 1)
-            total = np.zeros(len(piece) + 1, U64)
-            np.cumsum(self.code[piece] * up[: len(piece)], out=total[1:])
-            value = mix((total[b] - total[a]) * down[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
-            found.append((value, a + begin, b + begin))
+            found.append((_hashed(self.fold[piece], a, b), a + begin, b + begin))
             begin = end
         value, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return (value, a, b) if with_spans else value
@@ -153,6 +147,4 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
 
 def digest(values: np.ndarray) -> bytes:
     """16 bytes that stand for a sequence of 64-bit values."""
-    import hashlib
-
     return hashlib.blake2b(np.ascontiguousarray(values).view(np.uint8), digest_size=16).digest()

@@ -151,7 +151,7 @@ def _with_number_forms(parsed: DataFrame) -> DataFrame:
         'timeEnqueuedBeforeSubmitMs',
         {known("get(nodeProfile, i).timeEnqueuedBeforeSubmitMs", "a.timeEnqueuedBeforeSubmitMs")}) END)"""
     again = F.when(F.col(OBJECTION).isNotNull(), F.from_json("line", _ANY_NUMBER_DDL, JSON_OPTIONS))
-    read = _fenced(parsed.withColumn("again", again))
+    read = parsed.withColumn("again", again)
     changed = {c: F.expr(known(_q(c), f"again.{_q(c)}")) for c in _NUMBERS}
     for c, value in (("stateList", states), ("nodeProfile", nodes)):
         changed[c] = F.expr(f"CASE WHEN again IS NULL THEN {c} ELSE coalesce({value}, {c}) END")

@@ -11,6 +11,8 @@ from tickloom.llm.staging import staged
 #: Documents that score below are rejected.
 THRESHOLD = 0.3
 SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Session setting with the secret of the pseudonyms, and what stands in for it.
+SECRET, NO_SECRET = "spark.tickloom.pseudonym.key", "tickloom"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms; ``n_chars`` follows the text."""
-    done = pii.pseudonymise(docs)
+    """Texts with pseudonyms; ``n_chars`` follows the text, null texts stay null."""
+    done = pii.pseudonymise(docs, spark.conf.get(SECRET, NO_SECRET).encode())
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("row.n_chars"))}
     return done.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 

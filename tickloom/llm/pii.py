@@ -72,16 +72,18 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
-def _number(text: str, key: bytes) -> str:
-    """Card and account numbers of 13 to 19 digits; a valid check digit stays valid."""
+def _number(text: str, key: bytes) -> str | None:
+    """Card numbers of 13 to 19 digits with a valid check digit, which stays valid.
+
+    Those of fewer than 16 digits begin with 3 to 6 as such cards do, and keep that digit;
+    book numbers, times in milliseconds and the like do not.
+    """
     digits = re.sub("[^0-9]", "", text)
-    if luhn_digit(digits[:-1]) == digits[-1]:
-        payload = _digits(digits[:-1], key, "card")
-        return _refill(text, payload + luhn_digit(payload))
-    other = _digits(digits, key, "account")
-    while luhn_digit(other[:-1]) == other[-1]:
-        other = _digits(other, key, "account")
-    return _refill(text, other)
+    head = digits[0] if len(digits) < 16 else ""
+    if luhn_digit(digits[:-1]) != digits[-1] or head and head not in "3456":
+        return None
+    payload = head + _digits(digits[len(head) : -1], key, "card" + head)
+    return _refill(text, payload + luhn_digit(payload))
 
 
 def _iban(text: str, key: bytes) -> str | None:
@@ -104,6 +106,8 @@ def _email(text: str, key: bytes) -> str:
         _letters(p, ALNUM, key, "email") if set(p) <= set(ALNUM) else p for p in re.findall("[a-z0-9]+|[^a-z0-9]+", local.lower())
     )
     name = re.sub(r"[^\x00-\x7f]", lambda m: LETTERS[permuted(ord(m[0]), 0x110000, key, "char") % 26], name)
+    if len(name) == len(local):
+        name = "".join(n.upper() if c.isupper() else n for n, c in zip(name, local, strict=True))
     return f"{name}@{domain}"
 
 
@@ -156,17 +160,18 @@ def _secret(text: str, key: bytes) -> str:
 
 #: Kinds in the order in which they are tried; a value is of the first kind that accepts it.
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
-    "email": (r"[\w.+%-]*\w[\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    "email": (r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}", _email),  # the name is found from here
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     "secret": (r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])", _secret),
     "date_ymd": (r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9]|[./-][0-9])", _date("ymd")),
     "date_dmy": (r"(?<![0-9./-])[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}(?![0-9]|[./-][0-9])", _date("dmy")),
     "date_mdy": (r"(?<![0-9./-])[0-9]{2}(/)[0-9]{2}\1[0-9]{4}(?![0-9]|[./-][0-9])", _date("mdy")),
-    "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _address),
+    "ip": (r"(?<![0-9.vV])(?<!ersion )[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _address),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     "number": (r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _number),
     "phone": (
-        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+        r"|(?<![0-9+.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9]|[.-][0-9])"
         r"|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
         _phone,
     ),
@@ -175,6 +180,23 @@ _COMPILED = {kind: (re.compile(pattern), rule) for kind, (pattern, rule) in KIND
 _MAY_HOLD = re.compile(r"@|[0-9][ .()/-]?[0-9]")
 
 
+_NAME = re.compile(r"[\w.+%-]")
+
+
+def _spans(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Where a kind's pattern stands; mail names reach back from the ``@`` to the last address."""
+    last = 0
+    for m in pattern.finditer(text):
+        begin = m.start()
+        if kind == "email":
+            while begin > last and _NAME.match(text, begin - 1):
+                begin -= 1
+            last = m.end()
+            if not re.search(r"\w", text[begin : m.start()]):
+                continue
+        yield begin, m.end()
+
+
 @lru_cache(maxsize=1 << 16)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None if it is not a valid value of the kind."""
@@ -190,10 +212,10 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
         if kind == "email" and "@" not in text:
             continue
         found = []
-        for m in pattern.finditer(text):
-            new = pseudonym(kind, m[0], key)
+        for begin, end in _spans(kind, pattern, text):
+            new = pseudonym(kind, text[begin:end], key)
             if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+                found.append((begin, end, kind, new))
         if found:
             taken = _without_overlaps(taken, found)
     out, at = [], 0
@@ -228,13 +250,16 @@ def _replaced(key: bytes):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"tickloom") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``row, text, found`` for each row of ``docs``: the text with pseudonyms, and where.
 
     ``row`` is the row itself with all its columns.  ``found`` lists kind and character range
     (in the input text) of each value.  Null texts stay null, texts without values stay as they
-    are, and repeated rows get equal texts.  Set ``key`` to a secret of up to 64 bytes.
+    are, and repeated rows get equal texts.  ``key`` is a secret of 1 to 64 bytes: who has it can
+    undo every pseudonym.
     """
+    if not 1 <= len(key) <= 64:
+        raise ValueError("the key must have 1 to 64 bytes")
     packed = docs.select(F.struct("*").alias("row"))
     kind = packed.schema[0].dataType.simpleString()
     return packed.select("row", F.col("row.text").cast("string").alias("text")).mapInArrow(

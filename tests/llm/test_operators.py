@@ -352,6 +352,15 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.where("false")).collect() == []
 
 
+def test_products_of_any_size():
+    q, c = np.array([[2.0**70, 3.0], [-(2.0**61), 1.0]]), np.array([[0.0, 5.0], [1.0, 2.0**60]])
+    with pytest.raises(OverflowError):
+        topk._products(q, c)
+    assert topk._products(q[1:], c).tolist() == [[5, -(2**61) + 2**60]]
+    assert topk._products(q[:1], c[:1]).tolist() == [[15]]
+    assert topk._products(np.array([[2.0**40]]), np.array([[2.0**20 + 1]])).tolist() == [[2**60 + 2**40]]
+
+
 # --- quality ---------------------------------------------------------------------------
 
 

@@ -21,6 +21,8 @@ SHARD_ROWS = 4096
 SHARDS_PER_TASK = 4
 MERGE_WAYS = 16
 EXACT = float(1 << 53)
+#: Below the limit of 64 bits by more than the rounding of the bound.
+LARGEST = float(1 << 62)
 SCALE = 256
 
 
@@ -30,10 +32,20 @@ def _matrix(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products as 64-bit integers; floating products only where they are exact."""
-    if not len(c) or q.shape[1] * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) < EXACT:
+    """Inner products as 64-bit integers; floating products only where they are exact.
+
+    Beyond the range of 64 bits Python's integers are used; a score that does not fit raises.
+    """
+    bound = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
+    if not len(c) or bound < EXACT:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if bound < LARGEST:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    products = whole(q) @ whole(c).T
+    if np.abs(products).max(initial=0) >= 1 << 63:
+        raise OverflowError("an inner product does not fit into a long")
+    return products.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -92,7 +104,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     Queries are the rows whose ``vec_id`` is divisible by ``every``; candidates are all rows with
     another ``vec_id``.  Each component x counts as ``floor(256 * x)``; the score is the inner
     product and ties go to the smaller ``vec_id``.  Rows without id or vector, or with a null, NaN
-    or infinite component, take no part; vectors meet only those of their own length.  Of query
+    or infinite component, take no part; vectors meet only those of their own length.  A score
+    beyond 64 bits fails the job.  Of query
     rows that repeat a ``vec_id`` the smallest vector asks; repeated candidates count each.
     """
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -159,3 +159,36 @@ def test_band_keys_agree_for_equal_sets_and_seldom_otherwise():
 
 def test_digest():
     assert W.digest(np.array([1], np.uint64)) == hashlib.blake2b((1).to_bytes(8, "little"), digest_size=16).digest()
+
+
+# --- spread ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("groups", [4, 64])
+def test_replies_spread_over_groups(groups):
+    """What documents of one batch learn from each other goes to as many groups as there are."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(400)] * 2
+    batch = pa.record_batch([pa.array(range(800), pa.int64()), pa.array([i % 400 for i in range(800)], pa.int64()), pa.array(texts)], ["doc_id", "th", "text"])
+    size = {}
+    for rows in substrings._anchor_rows(groups)(iter([batch])):
+        for r in rows.to_pylist():
+            if r["found"] is not None:
+                size[r["grp"]] = size.get(r["grp"], 0) + len(r["found"])
+    assert len(size) == groups and max(size) < 0
+    assert max(size.values()) < 3 * sum(size.values()) / groups
+
+
+@pytest.mark.parametrize("groups", [4, 64])
+def test_stars_within_a_batch_spread_over_groups(groups):
+    nodes = [hashlib.sha256(str(i).encode()).digest()[:16] for i in range(1200)]
+    keys = [[i // 3 * near_copies.BANDS + j for j in range(near_copies.BANDS)] for i in range(1200)]
+    batch = pa.record_batch([pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+    size, found = {}, set()
+    for rows in near_copies._packed_keys(groups)(iter([batch])):
+        for r in rows.to_pylist():
+            if r["pairs"]:
+                size[r["grp"]] = size.get(r["grp"], 0) + len(r["pairs"])
+                found |= {(r["pairs"][i : i + 16], r["pairs"][i + 16 : i + 32]) for i in range(0, len(r["pairs"]), 32)}
+    assert len(size) == groups and max(size) < 0 and max(size.values()) < 3 * sum(size.values()) / groups
+    assert found == {(nodes[i], nodes[i + j]) for i in range(0, 1200, 3) for j in (1, 2)}

@@ -93,8 +93,9 @@ class _Packer:
         if done.any():
             order = np.argsort(d[done], kind="stable")
             doc, count = np.unique(d[done], return_counts=True)
-            value = _as_bytes(value[done][order], self.ordered).tobytes()
-            out.append((-1 - int(doc[0]) % 16, None, count.astype(np.int64).tobytes(), None, keys[doc].tobytes(), value))
+            # Replies go by document, to as many groups as the hashes have.
+            replies = _by_document(keys[doc], count.astype(np.int64), _as_bytes(value[done][order], self.ordered), self.groups)
+            out += [(-1 - r["part"], None, r["counts"], None, r["ids"], r["found"]) for r in replies.to_pylist()]
         h, d, p = h[on], d[on], p[on]
         for g, (hs, ds, ps) in by_group((h % U64(self.groups)).astype(np.int64), [h, d, p]):
             order = np.argsort(ds, kind="stable")

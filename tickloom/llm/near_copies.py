@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import words as W
 from tickloom.llm.components import components
+from tickloom.llm.packed import by_group
 from tickloom.llm.staging import join_hot, staged
 
 BINS, ROWS = 512, 8
@@ -131,7 +132,9 @@ def _packed_keys(groups: int):
             rows = [(int(group[a]), key[a:b].tobytes(), node[a:b].tobytes(), None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             if len(pairs):
                 both = np.stack([nodes[pairs // len(nodes)], nodes[pairs % len(nodes)]], axis=1)
-                rows += [(-1 - int(pairs[0]) % 64, None, None, both.tobytes())]
+                # Nodes are digests: their first bytes spread the centres evenly.
+                part = np.frombuffer(both.tobytes(), U64).reshape(-1, 4)[:, 0] % U64(groups)
+                rows += [(-1 - g, None, None, part_pairs.tobytes()) for g, (part_pairs,) in by_group(part.astype(np.int64), [both])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
                 names=["grp", "key", "node", "pairs"],

@@ -10,7 +10,8 @@ Documents with equal sets are one node.  A bucket yields a star, from its member
 never all pairs.  Stars are confirmed on the full sets.  What a star can leave open (members of
 one bucket that are in different components) is closed exactly: those nodes meet in tiles of
 bitmaps, whose distance is a lower bound of the sets' difference; pairs that the bound cannot
-rule out are confirmed on the full sets as well.
+rule out are confirmed on the full sets as well.  Bitmaps are as wide as their sets need, so
+that the bound is close at any size, and a tile holds a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from tickloom.llm.staging import join_hot, staged
 
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
-BITS = 4096
-TILE = 2048
+#: Bits of the narrowest and the widest bitmap, and bits for each shingle between them.
+BITS, MOST_BITS, BITS_EACH = 4096, 1 << 20, 8
+TILE, TILE_BYTES = 2048, 8 << 20
 LEAVES = 256
 KEYS_PER_GROUP = 1 << 19
 U64 = W.U64
@@ -78,8 +80,10 @@ def band_keys(sets: list[np.ndarray], orders: np.ndarray) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    out = np.zeros(BITS, np.uint8)
-    out[(s & U64(BITS - 1)).astype(np.int64)] = 1
+    """One bit per shingle, in a power of two of bits that follows the size of the set."""
+    width = min(MOST_BITS, max(BITS, 1 << (BITS_EACH * len(s) - 1).bit_length()))
+    out = np.zeros(width, np.uint8)
+    out[(s & U64(width - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
 
 
@@ -207,23 +211,41 @@ def _confirm(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, perc
     )
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps as they would be with ``words`` words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def _tile_pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of two tiles in different components that their bitmaps cannot rule out."""
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), U64).reshape(-1, BITS // 64)
+        packed = table["bits"].to_pylist()
+        words = np.array([len(b) // 8 for b in packed])
         size = table["n_shingles"].to_numpy()
         roots = np.unique(np.array(table["root"].to_pylist(), "S16"), return_inverse=True)[1]
         nodes = np.array(table["node"].to_pylist(), "S16")
         tile, (left, right) = table["tile"].to_numpy(), (table["i"][0].as_py(), table["j"][0].as_py())
-        at, others = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
         found = []
-        for x in at:
-            y = others[(roots[others] != roots[x])]
-            y = y[y > x] if left == right else y
-            y = y[np.minimum(size[y], size[x]) * 100 >= percent * np.maximum(size[y], size[x])]
-            gap = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            y = y[gap * (100 + percent) <= (100 - percent) * (size[y] + size[x])]
-            found.append(np.stack([np.full(len(y), nodes[x]), nodes[y]], axis=1))
+        widths = np.unique(words)
+        of_width = {w: np.flatnonzero(words == w) for w in widths}
+        bits = {w: np.frombuffer(b"".join(packed[i] for i in rows), U64).reshape(-1, w) for w, rows in of_width.items()}
+        for a, narrow in enumerate(widths):
+            for wide in widths[a:]:
+                x_rows, y_rows = of_width[narrow], of_width[wide]
+                if size[x_rows].max() * 100 < percent * size[y_rows].min():
+                    break
+                y_bits = _folded(bits[wide], narrow)
+                for i, x in enumerate(x_rows):
+                    y = np.flatnonzero((roots[y_rows] != roots[x]) & (tile[y_rows] == (right if tile[x] == left else left)))
+                    y = y[y_rows[y] > x] if narrow == wide else y
+                    n = size[y_rows[y]]
+                    y = y[np.minimum(n, size[x]) * 100 >= percent * np.maximum(n, size[x])]
+                    gap = np.bitwise_count(y_bits[y] ^ bits[narrow][i]).sum(axis=1, dtype=np.int64)
+                    y = y_rows[y[gap * (100 + percent) <= (100 - percent) * (size[y_rows[y]] + size[x])]]
+                    found.append(np.stack([np.full(len(y), nodes[x]), nodes[y]], axis=1))
         return _edge_table(np.concatenate(found) if found else np.empty((0, 2), "S16"))
 
     return run
@@ -242,8 +264,9 @@ def _open_pairs(nodes: DataFrame, stars: DataFrame, linked: DataFrame, percent:
     clusters = components(_lifted(stars, linked)).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = staged(join_hot(rooted, clusters, "root", "node", "inner"), "clusters")
-    members = join_hot(members, members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster", "node", "inner")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("bits")).alias("bytes"))
+    members = join_hot(members, sizes, "cluster", "node", "inner")
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
     members = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
     members = members.withColumn("other", F.explode(other)).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))

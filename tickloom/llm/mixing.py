@@ -12,52 +12,84 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Only per-source totals are held on the driver; more sources than this are refused.
-MAX_SOURCES = 200_000
-Knots = list[tuple[float, float]]
-Schedule = Callable[[list[str | None]], list[Knots]]
+from tickloom.llm.staging import staged
+
+#: From a source's number (by code point, null last) and name to its knots, two or more of
+#: ``(t, w)`` from time 0 to time 1.
+Schedule = Callable[[Column, Column], Column]
 
 #: Fixed by the contract: words, the repeating weights, and the share of all sizes.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
+#: A source's name with nulls told apart: equal keys meet in one partition.
+KEY = ["missing", "source"]
 
 
-def repeating(sources: list[str | None]) -> list[Knots]:
+def repeating(number: Column, source: Column) -> Column:
     """Weights 5, 2, 1 in turn: heavy sources fade out over the run, light ones fade in."""
-    tilt = {5: 0.5, 2: 0.0, 1: -0.5}
-    weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))]
-    return [[(0.0, w * (1 + tilt[w])), (1.0, w * (1 - tilt[w]))] for w in weights]
+    weight = F.get(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (number % len(WEIGHTS)).cast("int"))
+    tilt = F.when(weight == 5, 0.5).when(weight == 1, -0.5).otherwise(0.0)
+    knot = lambda t, w: F.struct(F.lit(t).alias("t"), w.alias("w"))
+    return F.array(knot(0.0, weight * (1 + tilt)), knot(1.0, weight * (1 - tilt)))
 
 
-def _areas(knots: Knots) -> list[float]:
+def _areas(knots: Column) -> Column:
     """Integral from the first knot to each knot."""
-    total, out = 0.0, [0.0]
-    for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
-        total += (t1 - t0) * (w0 + w1) / 2
-        out.append(total)
-    return out
-
-
-def shared_targets(weights: list[float], sizes: list[int], budget: float, max_epochs: int) -> list[float]:
-    """Share ``budget`` by weight, none above ``max_epochs`` times its size."""
-    caps = [max_epochs * s for s in sizes]
-    order = sorted((i for i in range(len(sizes)) if weights[i] > 0), key=lambda i: caps[i] / weights[i])
-    targets = [0.0] * len(sizes)
-    left, weight = budget, sum(weights[i] for i in order)
-    for n, i in enumerate(order):
-        if caps[i] * weight > left * weights[i]:
-            level = left / weight
-            for j in order[n:]:
-                targets[j] = level * weights[j]
+    get = lambda i, part: F.get(knots, i)[part]
+    step = lambda i: (get(i, "t") - get(i - 1, "t")) * (get(i - 1, "w") + get(i, "w")) / 2
+    steps = F.transform(F.sequence(F.lit(1), F.size(knots) - 1), step)
+    return F.transform(knots, lambda _, i: F.aggregate(F.slice(steps, 1, i), F.lit(0.0), lambda total, x: total + x))
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds ``number``: places from 0 in the order of ``KEY``, by a range sort of narrow rows."""
+    placed = staged(sources.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("place", F.monotonically_increasing_id()), "sources")
+    # A place is its partition, times 2 ** 33, plus the place there.
+    part, place = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # One row for each partition of the sort.
+    return placed.withColumn("part", part).join(F.broadcast(sizes), "part").withColumn("number", F.col("base") + place).drop("part", "base", "place")
+
+
+def with_targets(sources: DataFrame, budget: float, max_epochs: int) -> DataFrame:
+    """``sources(source_size, weight)`` with ``target``: ``budget`` by weight, none above its cap.
+
+    The level, tokens for a unit of weight, rises as full sources pass on what they cannot take.
+    Each round adds up the sources once and ends when no more of them are full.
+    """
+    cap, weight = F.col("source_size") * max_epochs, F.col("weight")
+    level, full = 0.0, -1
+    while True:
+        is_full = cap <= weight * level
+        row = sources.where(weight > 0).agg(
+            F.count_if(is_full).alias("full"), F.sum(F.when(is_full, cap)).alias("taken"), F.sum(F.when(~is_full, weight)).alias("rest")
+        ).first()
+        if row.full <= full or not row.rest:
             break
-        targets[i] = float(caps[i])
-        left -= caps[i]
-        weight -= weights[i]
-    return targets
+        full, level = row.full, (budget - (row.taken or 0)) / row.rest
+    own = F.when(cap <= weight * level, cap).otherwise(weight * level) if row.rest else cap
+    return sources.withColumn("target", F.when(weight > 0, own).otherwise(0).cast("double"))
+
+
+def _planned(sources: DataFrame, schedule: Schedule, share: float, max_epochs: int) -> DataFrame:
+    """Size, target and demand over time of each source, a written table."""
+    areas = numbered(sources).withColumn("knots", schedule(F.col("number"), F.when(~F.col("missing"), F.col("source"))))
+    areas = staged(areas.withColumn("areas", _areas(F.col("knots"))).withColumn("weight", F.element_at("areas", -1)), "schedules")
+    total = areas.agg(F.sum("source_size")).first()[0] or 0
+    scale = F.when(F.col("weight") > 0, F.col("target") / F.col("weight")).otherwise(0.0)
+    return with_targets(areas, share * total, max_epochs).select(
+        *KEY,
+        "source_size",
+        "target",
+        F.col("knots.t").alias("times"),
+        F.transform("areas", lambda x: x * scale).alias("demand"),
+        F.transform("knots", lambda k: k["w"] * scale).alias("rates"),
+    )
 
 
 def curriculum(
@@ -70,54 +102,33 @@ def curriculum(
 ) -> DataFrame:
     """``row, size, source_size, target, copies`` for each row of ``docs(doc_id, text, source)``.
 
-    ``row`` holds the columns named in ``carry``.  ``copies`` lists what the mix takes of the
-    row: ``(copy, position, words)``, with the words of the copy and its time in [0, 1].  The
-    words taken of a source are its target, rounded down; only the copy at the target's edge is
-    taken in part.  Null and wordless texts have size 0 and no copies; a null source is a source
-    and comes last.  Sizes of at most ``MAX_SOURCES`` sources are held on the driver.
+    ``row`` holds the columns named in ``carry``, whatever they are called.  ``copies`` lists what
+    the mix takes of the row: ``(copy, position, words)``, with the words of the copy and its time
+    in [0, 1].  The words taken of a source are its target, rounded down; only the copy at the
+    target's edge is taken in part.  Null and wordless texts have size 0 and no copies; a null
+    source is a source and comes last.  Rows without ``doc_id`` line up by their text; rows that
+    repeat an id follow each other, the shorter first, and each counts.
 
     Offsets are summed in two levels, within the buckets of a hashed order and over the buckets
-    of a source, so a source with most of the rows spreads over ``16 ** prefix`` buckets.
+    of a source, so a source with most of the rows spreads over ``16 ** prefix`` buckets.  Sources
+    may be any number: their sizes, places, targets and schedules are tables.
     """
-    spark = docs.sparkSession
-    source = F.col("source").cast("string")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    text = F.col("text").cast("string")
     rows = docs.select(
         F.struct(*carry).alias("row"),
-        source.alias("source"),
-        size.alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
-        F.xxhash64(F.col("text").cast("string")).alias("tie"),
-    )
-    bucket = F.substring("place", 1, prefix)
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    knots = schedule([r.source for r in totals])
-    areas = [_areas(k) for k in knots]
-    sizes = [r["size"] for r in totals]
-    targets = shared_targets([a[-1] for a in areas], sizes, share * sum(sizes), max_epochs)
-    plan = []
-    for i, (r, k, a, target) in enumerate(zip(totals, knots, areas, targets, strict=True)):
-        scale = target / a[-1] if a[-1] else 0.0
-        plan.append((i, r.source, r["size"], target, [t for t, _ in k], [x * scale for x in a], [w * scale for _, w in k]))
-    # One row for each of at most MAX_SOURCES sources.
-    sources = F.broadcast(
-        spark.createDataFrame(
-            plan, "sid int, source string, source_size long, target double, times array<double>, demand array<double>, rates array<double>"
-        )
-    )
-    placed = rows.withColumn("bucket", bucket).join(sources, rows.source.eqNullSafe(sources.source)).drop("source")
-    before = (
-        placed.groupBy("sid", "bucket")
-        .agg(F.sum("size").alias("n"))
-        .withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n"))
-        .drop("n")
-    )
+        F.col("source").isNull().alias("missing"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary")), F.lit("")).cast("binary")).alias("place"),
+        F.xxhash64(text).alias("tie"),
+    ).withColumn("bucket", F.substring("place", 1, prefix))
+    buckets = staged(rows.groupBy(*KEY, "bucket").agg(F.sum("size").alias("n")), "buckets")
+    sources = staged(_planned(buckets.groupBy(*KEY).agg(F.sum("n").alias("source_size")), schedule, share, max_epochs), "plan")
+    base = F.sum("n").over(Window.partitionBy(*KEY).orderBy("bucket")) - F.col("n")
+    before = buckets.withColumn("base", base).drop("n").join(sources, KEY)
     # Joined and summed on the same keys: rows move once.
-    placed = placed.join(before, ["sid", "bucket"])
-    line = Window.partitionBy("sid", "bucket").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(before, [*KEY, "bucket"])
+    line = Window.partitionBy(*KEY, "bucket").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("offset", F.col("base") + F.sum("size").over(line) - F.col("size"))
 
     def copy(e):

@@ -192,3 +192,46 @@ def test_stars_within_a_batch_spread_over_groups(groups):
                 found |= {(r["pairs"][i : i + 16], r["pairs"][i + 16 : i + 32]) for i in range(0, len(r["pairs"]), 32)}
     assert len(size) == groups and max(size) < 0 and max(size.values()) < 3 * sum(size.values()) / groups
     assert found == {(nodes[i], nodes[i + j]) for i in range(0, 1200, 3) for j in (1, 2)}
+
+
+def jaccard(a, b):
+    return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+
+def test_bitmaps_of_any_width_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets, links = [], set()
+    for n in (1, 40, 500, 600, 6_000, 9_000, 200_000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.08, 0.3):
+            changed = rng.random(n) < share
+            sets.append(np.unique(np.where(changed, rng.integers(0, 1 << 63, n, dtype=np.uint64), base)))
+    rows = [{"bits": near_copies.bitmap(s), "n_shingles": len(s), "root": b"%016d" % i, "node": b"%016d" % i, "tile": i % 2, "i": 0, "j": 0} for i, s in enumerate(sets)]
+    assert {len(r["bits"]) for r in rows} == {512, 1024, 8192, 16384, 131072}
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8}
+    assert links
+    run, found = near_copies._tile_pairs(80), set()
+    for tiles, (i, j) in (((0,), (0, 0)), ((1,), (1, 1)), ((0, 1), (0, 1))):
+        held = [{**r, "i": i, "j": j} for r in rows if r["tile"] in tiles]
+        out = run(pa.Table.from_pylist(held))
+        found |= {tuple(sorted((int(a), int(b)), reverse=True)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+    assert links <= found
+    # Nothing unlike comes through from sets of many thousand shingles.
+    assert all(jaccard(sets[i], sets[j]) > 0.6 for i, j in found if len(sets[i]) > 100)
+
+
+def test_long_templated_texts_leave_few_pairs_open(spark):
+    """Alike in three words of five, linked by nothing: every pair was confirmed on its texts before."""
+    rng = random.Random(9)
+    frame_words = [f"t{i}" for i in range(9000)]
+    docs = []
+    for i in range(40):
+        own = [w if j % 500 < 300 else f"u{rng.randrange(10**6)}" for j, w in enumerate(frame_words)]
+        docs.append((i, " ".join(own)))
+    sets = [near_copies.shingle_set(next(w for _, w, _ in W.hashed_texts(pa.array([t]), W.SPACED_LOWER)), 5) for _, t in docs]
+    table = pa.Table.from_pylist(
+        [{"bits": near_copies.bitmap(s), "n_shingles": len(s), "root": b"%016d" % i, "node": b"%016d" % i, "tile": 0, "i": 0, "j": 0} for i, s in enumerate(sets)]
+    )
+    assert near_copies._tile_pairs(80)(table).num_rows == 0
+    got = near_copies.near_copies(spark.createDataFrame(docs + [(100, docs[7][1] + " more")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(40)} | {100: 7}

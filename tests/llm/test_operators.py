@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, main_text, mixing, pii, quality, topk, urls, warc
+from tickloom.llm import decontamination, main_text, mixing, near_copies, pii, quality, topk, urls, warc
 from tickloom.llm import components as component_steps
 from tickloom.llm.components import components
 from tickloom.llm.fm_index import FMIndex
@@ -25,10 +25,52 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # --- mixing ----------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.shared_targets([5, 2, 1], [10, 100, 100], 315.0, 2) == [20.0, 200.0 * 0 + 295 * 2 / 3, 295 / 3]
-    assert mixing.shared_targets([5, 2], [0, 10], 15.0, 2) == [0.0, 15.0]
-    assert mixing.shared_targets([], [], 0.0, 2) == []
+def plain_targets(weights, sizes, budget, epochs):
+    """Sources in the order in which they fill up."""
+    targets, left, weight = [0.0] * len(sizes), budget, sum(weights)
+    order = sorted(range(len(sizes)), key=lambda i: epochs * sizes[i] / weights[i])
+    for n, i in enumerate(order):
+        if epochs * sizes[i] * weight > left * weights[i]:
+            for j in order[n:]:
+                targets[j] = left / weight * weights[j]
+            break
+        targets[i] = float(epochs * sizes[i])
+        left, weight = left - targets[i], weight - weights[i]
+    return targets
+
+
+def test_targets(spark):
+    def shared(weights, sizes, budget, epochs):
+        rows = [(i, float(w), s) for i, (w, s) in enumerate(zip(weights, sizes, strict=True))]
+        got = mixing.with_targets(spark.createDataFrame(rows, "i int, weight double, source_size long"), budget, epochs)
+        return [r.target for r in got.orderBy("i").collect()]
+
+    assert shared([5, 2, 1], [10, 100, 100], 315.0, 2) == [20.0, 200.0 * 0 + 295 * 2 / 3, 295 / 3]
+    assert shared([5, 2], [0, 10], 15.0, 2) == [0.0, 15.0]
+    assert shared([], [], 0.0, 2) == []
+    assert shared([1, 1], [1, 2], 100.0, 2) == [2.0, 4.0]
+    assert shared([0, 1], [9, 9], 9.0, 2) == [0.0, 9.0]
+    rng = random.Random(8)
+    for _ in range(3):
+        weights, sizes = [rng.choice([1, 2, 5]) for _ in range(60)], [int(10 ** (5 * rng.random())) for _ in range(60)]
+        np.testing.assert_allclose(shared(weights, sizes, 1.5 * sum(sizes), 2), plain_targets(weights, sizes, 1.5 * sum(sizes), 2))
+
+
+def test_mix_of_many_sources_and_rows_without_id(spark):
+    docs = spark.range(6000).selectExpr(
+        "if(id % 3 = 0, null, id) doc_id", "concat_ws(' ', array_repeat('w', 1 + cast(id % 7 as int)), id) text", "if(id % 2 = 0, 'hot', concat('s', id)) source", "id bucket"
+    )
+    got = mixing.curriculum(docs, ["bucket"]).collect()
+    total, by_source = sum(r.size for r in got), {}
+    for r in got:
+        key = "hot" if r.row.bucket % 2 == 0 else r.row.bucket
+        by_source.setdefault(key, [r.target, r.source_size, 0])[2] += sum(c.words for c in r.copies)
+    assert len(got) == 6000 and len(by_source) == 3001
+    assert all(words == int(target) <= 2 * size for target, size, words in by_source.values())
+    assert abs(sum(t for t, _, _ in by_source.values()) - 1.5 * total) < 1e-3
+    order = sorted(by_source, key=lambda k: str(k) if k == "hot" else f"s{k}")
+    weights, sizes = [(5, 2, 1)[i % 3] for i in range(3001)], [by_source[k][1] for k in order]
+    np.testing.assert_allclose([by_source[k][0] for k in order], plain_targets(weights, sizes, 1.5 * total, 2))
 
 
 def test_mix(spark):
@@ -381,3 +423,54 @@ def test_quality(spark):
     assert {r.doc_id for r in got if r.out} == {i for i in scores if i is not None and zlib.crc32(str(i).encode()) % 5 == 0}
     none = quality.quality_scores(docs.where("doc_id < 3"), labels.where("false")).collect()
     assert {r.score for r in none} == {0.5}
+
+
+def test_quality_from_positives_alone(spark):
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choice("aeiounrst") for _ in range(rng.randint(1, 8))) for _ in range(60)) + "."
+    # A hot id (labelled good, and all its texts are), rows without id and repeated rows; junk otherwise at every third.
+    ids = [i if i % 4 else (None if i % 8 else 7) for i in range(1500)]
+    good = [k == 7 or i % 3 > 0 for i, k in enumerate(ids)]
+    rows = [(k, prose() if good[i] else prose().upper().replace(" ", "!! "), i) for i, k in enumerate(ids)]
+    docs = spark.createDataFrame(rows + rows[:200], "doc_id long, text string, i long")
+    labels = spark.createDataFrame([(i, 1) for i in range(1500) if i % 4 and i % 3 and i % 2], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert abs(model.prior - np.mean(good)) < 0.07
+    scored = quality.quality_scores(docs, labels).select("row.i", "score").collect()
+    assert len(scored) == 1700
+    assert np.mean([(r.score >= 0.3) == good[r.i] for r in scored]) > 0.97
+    assert quality.quality_scores(docs.where("false"), labels).collect() == []
+    assert {r.score for r in quality.quality_scores(docs.where("i < 9").withColumn("doc_id", F.lit(None).cast("long")), labels).collect()} == {0.5}
+
+
+def test_quality_samples_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POSITIVES", 100)
+    monkeypatch.setattr(quality, "UNLABELLED", 200)
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: sizes.append((len(p), len(u))) or quality.Model(np.zeros(35), np.ones(35), np.zeros(35), 0.0, prior))
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    for key in ("7L", "cast(null as bigint)", "id"):
+        quality.train(spark.range(20_000).selectExpr(f"if(id < 3000, 7L, {key}) doc_id", "concat('text ', id) text"), labels)
+    assert all(p < 200 and 100 < u < 300 for p, u in sizes) and len(sizes) == 3
+
+
+# --- staging ---------------------------------------------------------------------------
+
+
+def test_staged_tables_are_removed(spark, monkeypatch, tmp_path):
+    import os
+
+    from tickloom.llm import staging
+
+    monkeypatch.setattr(staging, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    docs = spark.createDataFrame([(i, f"a b c {i % 3} d e f", "s") for i in range(30)], "doc_id long, text string, source string")
+    with staging.temporary(spark):
+        near_copies.near_copies(docs).write.parquet(str(tmp_path / "copies"))
+        mixing.curriculum(docs, ["doc_id"]).write.parquet(str(tmp_path / "mix"))
+        assert len(os.listdir(tmp_path / "shared")) > 5
+    assert os.listdir(tmp_path / "shared") == []
+    assert spark.read.parquet(str(tmp_path / "mix")).count() == 30
+    with pytest.raises(ValueError), staging.temporary(spark):
+        staging.staged(docs, "gone")
+        raise ValueError
+    assert os.listdir(tmp_path / "shared") == []

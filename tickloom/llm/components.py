@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.staging import staged
+from tickloom.llm.staging import new_path
+from tickloom.operators.sinks import remove
 
 
 #: Edges that a task holds at most before it reduces them to a forest.
@@ -81,8 +82,17 @@ def components(edges: DataFrame) -> DataFrame:
     end or two equal ends name no node.
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = staged(pairs.mapInArrow(_forests, pairs.schema).distinct(), "edges")
-    while _unfinished(edges):
-        edges = staged(_small_star(_large_star(edges)), "edges")
+    spark = pairs.sparkSession
+    left, rounds = pairs.mapInArrow(_forests, pairs.schema).distinct(), []
+    while True:
+        rounds.append(new_path(spark, "edges"))
+        left.write.parquet(rounds[-1])
+        edges = spark.read.schema(pairs.schema).parquet(rounds[-1])
+        # The round before is not read again.
+        for path in rounds[-2:-1]:
+            remove(spark, path)
+        if not _unfinished(edges):
+            break
+        left = _small_star(_large_star(edges))
     roots = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)

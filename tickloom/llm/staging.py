@@ -1,29 +1,48 @@
-"""Tables written to the folder that all executors share, and joins against hot keys."""
+"""Tables written to the folder that all executors share, and joins against hot keys.
+
+An operator's result reads its staged tables, so they stay until the caller has used it:
+``with temporary(spark):`` around the call and the write of its result removes them.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARED = "spark.checkpoint.dir"
+from tickloom.operators.sinks import remove, staging_root
+
+#: What was staged within each open ``temporary`` block.
+_open: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only if it is unset."""
-    folder = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"set {SHARED} to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set(SHARED, folder)
-    return folder.rstrip("/")
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only if it is unset and Spark is local."""
+    return staging_root(spark).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end, also after an error, all that was staged within.
+
+    Frames made within must not be read afterwards; write what is to stay to a path of your own.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

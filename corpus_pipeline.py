@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, mixing, near_copies, pii, quality
-from tickloom.llm.staging import staged
+from tickloom.llm.staging import new_path, staged, temporary
+from tickloom.operators.sinks import remove
 
 #: Documents that score below are rejected.
 THRESHOLD = 0.3
@@ -68,8 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each stage's result written and read again.
+
+    What a stage wrote for itself goes with its end, and its input once its result is written.
+    """
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with temporary(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if done:
+            remove(spark, done)
+        done = path
     return STAGES[-1][1](spark, docs, sf_dir)

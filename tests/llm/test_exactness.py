@@ -1,10 +1,11 @@
 """Words that a weak hash takes for equal, archives of both versions, and the largest id."""
 
 import gzip
+import os
 
 import pytest
 
-from tickloom.llm import decontamination, near_copies, substrings, warc
+from tickloom.llm import decontamination, near_copies, staging, substrings, warc
 from tickloom.llm import words as W
 
 
@@ -77,3 +78,18 @@ def test_bytes_between_records_are_an_error(spark, tmp_path, junk):
     path.write_bytes(gzip.compress(data))
     with pytest.raises(Exception, match="a.warc.gz"):
         warc.read_warc(spark, str(path))[0].collect()
+
+
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    rows = staging.staged(spark.range(1000).repartition(3, "id"), "shuffled")
+    assert rows.count() == 1000
+    # The count's own shuffle has one short row a task.
+    left = _shuffle_files(spark) - before
+    assert len({f.split("_")[1] for f in left}) <= 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.sinks import remove, staging_root
+from tickloom.operators.sinks import releasing_shuffles, remove, staging_root
 
 #: What was staged within each open ``temporary`` block.
 _open: list[list[str]] = []
@@ -46,9 +46,10 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: lineage ends here and its size is known."""
+    """``df`` written once and read back: lineage and shuffle files end here, and its size is known."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with releasing_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

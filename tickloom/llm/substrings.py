@@ -294,7 +294,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         met = packed.groupBy("grp").applyInArrow(_met(ordered, groups), FOUND)
         return met.groupBy("part").applyInArrow(_merged(4 if ordered else 6), PER_DOCUMENT)
 
-    met = learned(docs.mapInArrow(_anchor_rows(groups), PACKED), ordered=False)
+    # Each step is written on its own, so the disk holds the shuffles of one step at a time.
+    met = staged(learned(docs.mapInArrow(_anchor_rows(groups), PACKED), ordered=False), "met")
     places = docs.join(met, ["doc_id", "th"])
     removed = staged(learned(places.mapInArrow(_window_rows(groups), PACKED), ordered=True), "removed")
     out = docs.join(removed, ["doc_id", "th"], "left").drop("doc_id").withColumnRenamed("given", "doc_id").mapInArrow(

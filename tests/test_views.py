@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom import ingest_lines, read_tables, register_views
 from tickloom.operators import ticks as ticks_module
-from tickloom.plans import late_views, views
+from tickloom.plans import late_views, stored_views, views
 from tickloom.plans.catalog import VIEW_NAMES, view_builders
 
 TICK = 100
@@ -298,3 +298,25 @@ def test_skewed_ticks_are_split_in_the_header_join(spark, tmp_path, conf):
     joined = views.state_tick(tables_many)
     assert len(joined.collect()) == t["ticks"].count()
     assert "skew=true" in plan(joined)
+
+
+def test_rows_of_the_node_views_move_once(spark, tables, tmp_path, conf):
+    """One exchange of the rows for both aggregations, in the builders and in the stored texts."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    text = r"Exchange hashpartitioning\(tickMs|Exchange hashpartitioning\(tickTs"
+    assert count_in_plan(views.tick_node_agg(tables), text) == 1
+    for name, df in tables.items():
+        df.createOrReplaceTempView(f"once_{name}")
+    for name, sql in list(stored_views.view_texts().items())[:3]:
+        sql = sql.replace(stored_views.PREFIX, "once_")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW once_{name} AS {sql}")
+    stored = spark.table("once_profileTickNodeAgg")
+    assert count_in_plan(stored, text) == 1
+    assert rows(stored) == rows(views.tick_node_agg(tables))
+
+
+def test_ticks_are_not_sorted_for_the_keys_of_their_queries(tables, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = plan(views.named_ticks(tables, []))
+    assert "ShuffledHashJoin" in found and "Sort " not in found

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from helpers import lines_frame, node, plan, profile, rows, scheduling
+from helpers import count_in_plan, lines_frame, node, plan, profile, rows, scheduling
 
 from tickloom.model import SCHEDULING_COLUMNS
 from tickloom.operators.numbering import number_profiles
@@ -199,3 +199,16 @@ def test_numbers_are_dense_and_do_not_depend_on_partitioning(spark):
     b = number_profiles(ids.repartition(7, "attempt"), base=50, buckets=16)
     assert rows(a) == rows(b)
     assert sorted(r.qNum for r in a.collect()) == list(range(51, 1051))
+
+
+def test_states_are_reversed_once(spark):
+    """Not once for each state: the later of two entries counts, and codes out of order are found."""
+    states = ((8, 1130), (1, 900), (1, 1000), (9, 1350), (8, 1140))
+    found = parse_profiles(lines_frame(spark, [("q0", 0, profile(states))]).repartition(1))
+    assert count_in_plan(found, r"reverse\(") == 2
+    (row,) = found.collect()
+    assert [row.stateStarts[c] for c in (1, 8, 9)] == [1000, 1140, 1350]
+    assert (len(row.stateStarts), sum(v is not None for v in row.stateStarts), row.highestState) == (12, 3, 9)
+    empty = one(spark, profile(stateList=[]))
+    assert empty.stateStarts == [None] * 12 and empty.highestState == 0
+    assert one(spark, profile(stateList=None)).problem == "stateList"

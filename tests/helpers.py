@@ -105,5 +105,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def formatted(df):
+    """The physical plan with the columns that each step takes in."""
+    spark = df.sparkSession
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
 def count_in_plan(df, pattern):
     return len(re.findall(pattern, plan(df)))

@@ -1,9 +1,10 @@
 """The five views: hand-checked rows, both plan families, skew and plans."""
 
 import random
+import re
 
 import pytest
-from helpers import count_in_plan, expected_ticks, lines_frame, node, plan, profile, rows
+from helpers import count_in_plan, expected_ticks, formatted, lines_frame, node, plan, profile, rows
 from pyspark.sql import functions as F
 
 from tickloom import ingest_lines, read_tables, register_views
@@ -320,3 +321,23 @@ def test_ticks_are_not_sorted_for_the_keys_of_their_queries(tables, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     found = plan(views.named_ticks(tables, []))
     assert "ShuffledHashJoin" in found and "Sort " not in found
+
+
+def test_texts_do_not_move_once_per_node(spark, tables, conf):
+    """A text goes to the slices of its query; the rows of the nodes get it there."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    found = late_views.ticks_nodes(tables, TICK)
+    parts = re.findall(r"Exchange\n(?:.*\n)*?Input \[\d+\]: \[(.*)\]", formatted(found))
+    assert any("queryTextFirstChunk" in columns for columns in parts)
+    assert not any("queryTextFirstChunk" in columns and "endpointAddress" in columns for columns in parts)
+
+
+def test_slices_of_node_ticks(spark, tables, monkeypatch):
+    """Long phases have several slices, and header rows may repeat or lack their number."""
+    monkeypatch.setattr(late_views, "NODE_SLICE_TICKS", 3)
+    assert rows(late_views.ticks_nodes(tables, TICK)) == rows(views.ticks_nodes(tables))
+    q = tables["queries"]
+    odd = tables | {"queries": q.union(q).union(q.limit(5).withColumn("qNum", F.lit(None).cast("bigint")))}
+    once = rows(views.ticks_nodes(tables))
+    assert rows(late_views.ticks_nodes(odd, TICK)) == sorted(once * 2, key=lambda r: [(v is not None, v) for v in r])

@@ -341,3 +341,18 @@ def test_slices_of_node_ticks(spark, tables, monkeypatch):
     odd = tables | {"queries": q.union(q).union(q.limit(5).withColumn("qNum", F.lit(None).cast("bigint")))}
     once = rows(views.ticks_nodes(tables))
     assert rows(late_views.ticks_nodes(odd, TICK)) == sorted(once * 2, key=lambda r: [(v is not None, v) for v in r])
+
+
+def test_tasks_of_the_node_views_follow_the_rows(tables, monkeypatch, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = {name: rows(getattr(late_views, name)(tables, TICK)) for name in ("tick_node_agg_1", "tick_node_agg")}
+    assert late_views.row_tasks(tables) is None
+    stored = sum(max(b.nodes, b.profiles) for b in tables.manifest.batches)
+    monkeypatch.setattr(late_views, "ROWS_PER_TASK", 10)
+    tasks = -(-stored // 10)
+    assert late_views.row_tasks(tables) == tasks > 4
+    for name, want in before.items():
+        found = getattr(late_views, name)(tables, TICK)
+        assert rows(found) == want
+        # The sweep, the sums per query and node, the join of both, and the sums per range.
+        assert count_in_plan(found, rf"hashpartitioning\([^)]*, {tasks}\)") >= 4, name

@@ -356,3 +356,30 @@ def test_tasks_of_the_node_views_follow_the_rows(tables, monkeypatch, conf):
         assert rows(found) == want
         # The sweep, the sums per query and node, the join of both, and the sums per range.
         assert count_in_plan(found, rf"hashpartitioning\([^)]*, {tasks}\)") >= 4, name
+
+
+def test_node_rows_meet_blocks_of_ticks(tables, conf, monkeypatch):
+    """A row of a node is joined and moved once per block of its query's ticks, which come last."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    for name, options in [("ticks_nodes", {}), *[(n, {"eager": e}) for n in ("tick_node_agg_1", "tick_node_agg") for e in (False, True)]]:
+        text = plan(getattr(views, name)(tables, **options))
+        last = text.index("explode(tickMs")
+        assert "Join" in text[last:] and "Join" not in text[:last], name
+        assert "Exchange" not in text[:last] and "Aggregate" not in text[:last], name
+    monkeypatch.setattr(views, "BLOCK_MS", 300)
+    runs = views.tick_runs(tables)
+    assert runs.agg(F.sum(F.size("tickMs"))).first()[0] == views.running_ticks(tables["ticks"]).count()
+    assert runs.count() < runs.agg(F.sum(F.size("tickMs"))).first()[0]
+    monkeypatch.setattr(views, "TICKS_PER_TASK", 10)
+    assert views.node_tick_tasks(tables) > views.node_tick_tasks(dict(tables))
+
+
+def test_repeated_ticks_are_added_up(tables):
+    """A tick that is stored twice counts twice, and is one row."""
+    twice = tables | {"ticks": tables["ticks"].union(tables["ticks"])}
+    once = {(*r[:8],): r for r in views.tick_node_agg_1(tables).collect()}
+    for eager in (False, True):
+        found = views.tick_node_agg_1(twice, eager=eager).collect()
+        assert {(*r[:8],): r.queryCount for r in found} == {k: 2 * r.queryCount for k, r in once.items()}
+        assert len(found) == len(once)

@@ -1,12 +1,15 @@
 """Profile files to lines."""
 
+import gzip
 import json
 
 import pytest
 from helpers import profile, rows, write_files
 from pyspark.sql import functions as F
 
-from tickloom.sources.profile_files import read_profile_lines
+from checks import queries
+from tickloom.operators import sinks
+from tickloom.sources.profile_files import read_listed, read_profile_lines, scan_files
 from tickloom.sources.profile_json import parse_profiles, usable
 
 
@@ -77,3 +80,34 @@ def test_a_large_file_is_split_and_its_lines_keep_their_positions(spark, tmp_pat
     want = [("big", i, u) for i, u in enumerate(users)]
     want += [("other", i, u) for i, u in enumerate(users[:700])]
     assert got == sorted([*want, ("small", 0, "s")])
+
+
+def test_compressed_files_are_read_line_by_line(spark, tmp_path):
+    """A small compressed file may hold any amount of text, so it is not read in one piece."""
+    path = write_files(tmp_path / "in", {"profile_plain.json": [profile(user="p")]})
+    users = [f"user{i:03}" for i in range(300)]
+    lines = [json.dumps(profile(user=u)) for u in users]
+    lines.insert(7, "")
+    (tmp_path / "in" / "profile_many.json.gz").write_bytes(gzip.compress("\n".join(lines).encode()))
+    pattern = "*.{json,json.gz}"
+    whole, by_line = scan_files(spark, path, pattern=pattern)
+    assert whole.count() == 1 and by_line.count() == len(lines)
+    listed = [(str(f), f.stat().st_size) for f in (tmp_path / "in").iterdir()]
+    for found in (read_profile_lines(spark, path, pattern=pattern), read_listed(spark, listed)):
+        got = parse_profiles(found).where("problem IS NULL").select("file_name", "attempt", "userId")
+        want = [("profile_many.json.gz", i + (i >= 7), u) for i, u in enumerate(users)]
+        assert rows(got) == sorted([*want, ("profile_plain.json", 0, "p")])
+    assert ids(spark, path) == [("plain", 0, "p")]
+
+
+def test_scanned_files_are_smaller_than_their_lines(spark, tmp_path, monkeypatch):
+    """The files that the scan reads hold every line, compressed."""
+    lines = [json.dumps(profile(user=f"u{i}", query=f"SELECT {i} FROM t " * 20)) for i in range(400)]
+    frame = spark.createDataFrame([(f"profile_{i}.json", 0, x) for i, x in enumerate(lines)], "file_name STRING, attempt BIGINT, line STRING")
+    monkeypatch.setattr(queries, "profile_lines", lambda *_: frame)
+    path = queries._profile_files(spark, "")
+    where, fs = sinks.file_system(spark, path)
+    assert fs.getContentSummary(where).getLength() < sum(map(len, lines)) / 2
+    found = read_profile_lines(spark, path, pattern="*.json.gz")
+    assert sorted(r.line for r in found.collect()) == sorted(lines)
+    assert queries.scan_profiles(spark, "").count() == len(lines)

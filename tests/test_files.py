@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 import pytest
 from helpers import profile, rows, write_files
@@ -111,3 +112,29 @@ def test_scanned_files_are_smaller_than_their_lines(spark, tmp_path, monkeypatch
     found = read_profile_lines(spark, path, pattern="*.json.gz")
     assert sorted(r.line for r in found.collect()) == sorted(lines)
     assert queries.scan_profiles(spark, "").count() == len(lines)
+
+
+def test_split_files_are_smaller_than_their_lines(spark, tmp_path, monkeypatch, conf):
+    """The files hold every line, packed, and still have several splits each."""
+    texts = ["SELECT * FROM t | é\U0001f600 " * (1 + i % 40) + str(i) for i in range(3000)]
+    texts[7] = "x" * 300_000
+    lines = [json.dumps(profile(user=f"u{i}", start=1000 + i, query=q), ensure_ascii=False, separators=(",", ":")) for i, q in enumerate(texts)]
+    entries = [(f"profile_{i}.json", i % 3, x) for i, x in enumerate(lines)]
+    frame = spark.createDataFrame(entries, "file_name STRING, attempt BIGINT, line STRING").repartition(6)
+    monkeypatch.setattr(queries, "profile_lines", lambda *_: frame)
+    monkeypatch.setattr(sinks, "new_staging_dir", lambda _: str(tmp_path))
+    conf("spark.sql.files.maxPartitionBytes", "50000")
+    got = queries.split_file_lines(spark, "")
+    assert rows(got) == sorted((f"profile_{i}.json", i % 3, 0, 1000 + i) for i in range(len(lines)))
+    files = list((tmp_path / "files").glob("part-*"))
+    assert sum(f.stat().st_size for f in files) < sum(len(x.encode()) for x in lines) / 2
+    splits = spark.read.text(str(tmp_path / "files")).groupBy("_metadata.file_name").agg(F.count_distinct("_metadata.file_block_start").alias("n"))
+    assert splits.agg(F.min("n")).first()[0] > 1
+
+
+def test_lines_are_packed_whole(spark):
+    texts = ["", "a", "|\t\u2028é", "\U0001f600" * 5000, *(f"line {i} " * i for i in range(300))]
+    frame = spark.createDataFrame([(t.encode(),) for t in texts], "line BINARY").coalesce(1)
+    packed = queries._packed(frame)
+    assert all(re.fullmatch(b"[A-Za-z0-9+/=]+", r.line) for r in packed.collect())
+    assert [r.line.decode() for r in queries._unpacked(packed).collect()] == texts

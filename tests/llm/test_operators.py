@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from helpers import plan
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -394,6 +395,13 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.where("false")).collect() == []
 
 
+def test_no_queries_go_through_the_driver(spark):
+    """However small their file is: repeated for every shard, they are not."""
+    frame = spark.range(500).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    found = plan(topk.top_k(frame))
+    assert "CartesianProduct" in found and "Broadcast" not in found
+
+
 def test_products_of_any_size():
     q, c = np.array([[2.0**70, 3.0], [-(2.0**61), 1.0]]), np.array([[0.0, 5.0], [1.0, 2.0**60]])
     with pytest.raises(OverflowError):

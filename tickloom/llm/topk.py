@@ -2,7 +2,8 @@
 
 A tile multiplies a block of queries with a shard as matrices and keeps only each query's best
 rows; lists of tiles are merged in two levels, first per query and group of tiles, then per
-query.  Components are whole numbers and products stay exact.
+query.  Components are whole numbers and products stay exact.  Blocks of queries come to the shards
+in every task, never through the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from tickloom.llm.staging import staged
 
 QUERIES_PER_BLOCK = 2048
 SHARD_ROWS = 4096
-SHARDS_PER_TASK = 4
 MERGE_WAYS = 16
 EXACT = float(1 << 53)
 #: Below the limit of 64 bits by more than the rounding of the bound.
@@ -122,16 +122,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         .select("block", F.col("rows.vec_id").alias("q_ids"), F.col("rows.v").alias("q_vectors")),
         "queries",
     )
-    # A block of queries goes to as many tasks as the shards need.
-    ways = 1 + n * every // (SHARD_ROWS * SHARDS_PER_TASK)
-    spread = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
-    shards = clean.mapInArrow(_blocks("c", SHARD_ROWS), schema.format("c"))
-    tiles = (
-        shards.withColumn("tile", F.monotonically_increasing_id())
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("way", F.pmod(F.xxhash64("tile"), F.lit(ways)).cast("int"))
-        .join(asked.withColumn("way", spread), ["block", "way"])
-        .select("tile", "q_ids", "q_vectors", "c_ids", "c_vectors")
+    # Every block meets every shard where that is read; neither is copied for the other or sent to the driver.
+    held = staged(clean, "vectors")
+    shards = held.mapInArrow(_blocks("c", SHARD_ROWS), schema.format("c")).withColumn("tile", F.monotonically_increasing_id())
+    tiles = shards.crossJoin(asked.repartitionById(blocks, F.col("block")).hint("shuffle_replicate_nl")).select(
+        "tile", "q_ids", "q_vectors", "c_ids", "c_vectors"
     )
     lists = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score long, tile long")
     order = [F.col("score").desc(), F.col("vec_id")]

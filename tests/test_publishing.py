@@ -248,3 +248,10 @@ def test_views_from_another_session(spark, tmp_path):
     (tmp_path / "out" / "_views" / file).write_text("SELECT count(*) AS n FROM ${prefix}ticks")
     load_views(second, out)
     assert second.table("profileStateTick").first().n == t["ticks"].count()
+
+
+def test_stored_tables_are_compressed_well(spark, tmp_path):
+    out = tmp_path / "out"
+    ingest_lines(lines_frame(spark, batch("ab")), str(out))
+    files = [f.name for f in out.rglob("part-*.parquet")]
+    assert files and all(".zst" in name for name in files)

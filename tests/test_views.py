@@ -383,3 +383,39 @@ def test_repeated_ticks_are_added_up(tables):
         found = views.tick_node_agg_1(twice, eager=eager).collect()
         assert {(*r[:8],): r.queryCount for r in found} == {k: 2 * r.queryCount for k, r in once.items()}
         assert len(found) == len(once)
+
+
+def test_texts_move_once_for_all_phases(spark, tables, conf):
+    """A query is unnested into its phases where its text has arrived."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    parts = re.findall(r"Exchange\n(?:.*\n)*?Input \[\d+\]: \[(.*)\]", formatted(late_views.state_tick(tables, TICK)))
+    assert any("queryTextFirstChunk" in columns for columns in parts)
+    assert not any("queryTextFirstChunk" in columns and "queryState" in columns for columns in parts)
+
+
+def test_files_hold_as_many_texts_as_their_dictionary(spark, tables, conf, monkeypatch):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(views, "TEXTS_PER_TASK", 5)
+    monkeypatch.setattr(views, "STRETCH_MS", 200)
+    monkeypatch.setattr(ticks_module, "SLICE_TICKS", 3)
+    tasks = -(-sum(b.profiles for b in tables.manifest.batches) // 5)
+    assert tasks > 4
+    for name in ("ticks_nodes", "state_tick"):
+        want = rows(getattr(views, name)(dict(tables)))
+        for found in (getattr(views, name)(tables), getattr(late_views, name)(tables, TICK)):
+            assert rows(found) == want
+            assert re.search(rf"hashpartitioning\([^)]*, {tasks}\)", plan(found)), name
+    monkeypatch.setattr(views, "MOST_TEXT_TASKS", 6)
+    assert views.text_tasks(tables, 1) == 6
+
+
+def test_attempts_move_as_lists_of_ticks(tables, conf):
+    """Rows of several attempts become ticks after they have moved, and node rows move once to their ticks."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    for eager in (False, True):
+        text = plan(views.tick_node_agg_1(tables, eager=eager))
+        moved = text.index("Exchange hashpartitioning(tickMsBlock")
+        assert "explode(CASE WHEN shared" in text[:moved]
+        assert not re.search(r"hashpartitioning\(qNum#\d+L, nodeId", text)

@@ -27,3 +27,24 @@ def test_registered_query(spark, duck, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_runs_break_off_after_each_table(spark, monkeypatch):
+    """`broken_rerun` breaks a run off after every table that the job writes, then lets one end."""
+    made = []
+
+    def run(lines, out, written=None, **options):
+        made.append([])
+        for table in ("quarantine", "query_text", "nodes", "ticks", "queries"):
+            made[-1].append(table)
+            if written is not None:
+                written(table)
+
+    frame = spark.createDataFrame([("t", 0)], "tableName STRING, attempt INT")
+    monkeypatch.setattr(queries, "ingest_lines", run)
+    monkeypatch.setattr(queries, "read_tables", lambda *a: {})
+    monkeypatch.setattr(queries, "_table_rows", lambda frames: frame)
+    monkeypatch.setattr(queries, "profile_lines", lambda *a: frame)
+    assert queries.broken_rerun(spark, SF_DIR).count() == 2
+    assert {tables[-1] for tables in made[1:-1]} == {"quarantine", "query_text", "nodes", "ticks", "queries"}
+    assert sorted(map(len, made[1:-1])) == [1, 2, 3, 4, 5] and len(made[0]) == len(made[-1]) == 5
